@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import exact, jaccard, mixing, packing, pii, quality
+from rowloom.llm import exact, hmm, html, jaccard, mixing, packing, pfp, pii, quality, topk
 from rowloom.llm.sql import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_score(_table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(_table(spark, sf_dir, "documents"))
 
@@ -24,10 +32,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -48,5 +64,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mixing, op4_jaccard_join, op6_pii, op8_quality, op9_exact_dedup, op10_best_fit_packing, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hmm_score, op2_suffix_dedup, op3_mixing, op4_jaccard_join, op5_topk_search, op6_pii, op7_html_extraction, op8_quality, op9_exact_dedup, op10_best_fit_packing, pipeline)}
 ORACLE: dict[str, str] = ORACLE_SQL

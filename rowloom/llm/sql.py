@@ -5,4 +5,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT min(doc_id) AS doc_id, md5(text) AS content_hash, count(*) AS n_copies
         FROM documents GROUP BY text, CASE WHEN text IS NULL THEN doc_id END
     """,
+    "op5_topk_search": """
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+        n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM benchmark),
+        tf AS (SELECT doc_id, len AS size, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+        df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+        impact AS (
+            SELECT doc_id, word, CAST(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / average))) * 1000000 + 0.5) AS BIGINT) AS impact
+            FROM tf JOIN df USING (word), n
+        ),
+        s AS (SELECT item_id AS query_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN impact USING (word) GROUP BY ALL)
+        SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+    """,
 }
