@@ -1 +1,517 @@
-"""The queries of the catalogue: one for each operator, over whole tables."""
+"""The queries of the catalogue: one for each operator, over whole tables, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowloom.api import enrich
+from rowloom.catalog import query, table
+from rowloom.functions import cost, parsing, prompt, similarity, text
+from rowloom.operators import batches, grounding, merge, quality, resume, retrieval, rows
+from rowloom.operators.compose import Composer
+from rowloom.operators.invoke import EchoClient, invoke
+from rowloom.sources import jsonl
+from rowloom.streaming.runner import windowed
+
+# Pieces of SQL that several queries share.
+_WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '\\s+'), lambda x: x <> '')"
+_TOKENS = "list_filter(list_transform(string_split_regex({0}, '\\s+'), lambda x: lower(regexp_replace(x, '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g'))), lambda x: length(x) > 1)"
+_BAND = "CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END"
+
+
+def _words(c: str) -> str:
+    return _WORDS.format(c)
+
+
+def _tokens(c: str) -> str:
+    return _TOKENS.format(c)
+
+
+def _band(reply: F.Column) -> F.Column:
+    """A model of the prompt ``... size <n> ...``: the band of the size."""
+    n = F.regexp_extract(reply, r"size (\d+)", 1).cast("long")
+    return F.when(n < 500, "short").when(n < 5000, "medium").otherwise("long")
+
+
+# ---------------------------------------------------------------- prompts
+@query("enrich_doc_band", f"SELECT doc_id, lang, n_chars, concat({_BAND}, '/', lang) AS band FROM documents")
+def enrich_doc_band(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return enrich(docs, "A text in {lang} of size {n_chars}.", ["band"], lambda p: F.concat(F.lit("assistant: "), _band(p), F.lit("/"), F.regexp_extract(p, r"in (\w+)", 1)), "doc_id")
+
+
+@query("prompt_render_orders", "SELECT o_orderkey, concat('Order ', o_orderkey, ' of ', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ' has status ', o_orderstatus, ' and priority ', o_orderpriority) AS prompt FROM orders")
+def prompt_render_orders(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", prompt.render(o, "Order {o_orderkey} of {o_orderdate} has status {o_orderstatus} and priority {{ o_orderpriority }}").alias("prompt"))
+
+
+@query("prompt_fewshot_system", "SELECT conv_id, turn, 'You sort messages.' AS system, concat('Example 1', chr(10), 'Input: hello', chr(10), 'Output: greeting', chr(10), chr(10), 'Message of ', role, ': ', text) AS prompt FROM conversations")
+def prompt_fewshot_system(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.lit("You sort messages.").alias("system"), prompt.render(c, "Message of {role}: {text}", [("hello", "greeting")]).alias("prompt"))
+
+
+# ---------------------------------------------------------------- packing and parsing
+@query("pack_mega_prompts", f"""
+    WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, CAST(floor(len({_words('text')}) * 13 / 10) AS BIGINT) AS t FROM documents)
+    SELECT p // 100 AS block, (p % 100) // 30 AS slot, min(p) AS first, CAST(count(*) AS INTEGER) AS n, list(doc_id ORDER BY p) AS doc_ids, CAST(200 + 25 * count(*) + sum(t) AS BIGINT) AS tokens FROM r GROUP BY ALL
+""")
+def pack_mega_prompts(spark: SparkSession, d: str) -> DataFrame:
+    docs = rows.with_row_index(table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("t")), "doc_id")
+    packed = batches.pack(docs, 30, rows.INDEX, batches.BLOCK, "doc_id", "t")
+    return packed.select("block", "slot", "first", "n", F.col("items.doc_id").alias("doc_ids"), batches.pack_tokens(F.col("items.t")).alias("tokens"))
+
+
+def _packed_events(spark: SparkSession, d: str) -> DataFrame:
+    e = rows.with_row_index(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    return batches.pack(e, 20, rows.INDEX, batches.BLOCK, "event_type")
+
+
+@query("unpack_roundtrip", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS _row_index, concat('type ', event_type) AS result, CAST(NULL AS VARCHAR) AS failure FROM events")
+def unpack_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.to_json(F.reverse(F.transform("items", lambda x, i: F.struct((i + 1).alias("id"), F.concat(F.lit("type "), x["event_type"]).alias("result")))))
+    return batches.unpack(_packed_events(spark, d).withColumn("reply", reply), "reply", rows.INDEX)
+
+
+@query("unpack_partial_failure", """
+    WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS p, event_type FROM events), k AS (SELECT *, (p % 100) % 20 + 1 AS id, (p // 20) % 11 = 0 AS broken FROM r)
+    SELECT p AS _row_index, CASE WHEN broken OR id % 7 = 0 THEN 'null' ELSE event_type END AS result, CASE WHEN broken THEN 'unreadable reply' WHEN id % 7 = 0 THEN 'missing id' END AS failure FROM k
+""")
+def unpack_partial_failure(spark: SparkSession, d: str) -> DataFrame:
+    kept = F.filter(F.transform("items", lambda x, i: F.struct((i + 1).alias("id"), x["event_type"].alias("result"))), lambda x: x["id"] % 7 != 0)
+    reply = F.when(F.floor(F.col("first") / 20) % 11 == 0, "I cannot answer.").otherwise(F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(kept.alias("items"))), F.lit("\n```")))
+    return batches.unpack(_packed_events(spark, d).withColumn("reply", reply), "reply", rows.INDEX)
+
+
+@query("parse_json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def parse_json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", parsing.json_fields(F.col("props"), ["k"])["k"].alias("k"))
+
+
+@query("parse_json_fenced", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE role END AS who, CASE WHEN turn % 3 = 2 THEN NULL ELSE CAST(turn AS VARCHAR) END AS at FROM conversations")
+def parse_json_fenced(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.to_json(F.struct(F.col("role").alias("who"), F.col("turn").alias("at")))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), doc, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit('{"result": '), doc, F.lit("}"))).otherwise("```json\n{broken\n```")
+    got = parsing.json_fields(reply, ["who", "at"])
+    return table(spark, d, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in got.items()])
+
+
+@query("parse_regex_fields", r"SELECT page_id, CASE WHEN regexp_matches(html, '<html lang=\"[a-z]+\"') THEN regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) END AS lang, CASE WHEN regexp_matches(html, '<!-- [a-z]+ [0-9]+ -->') THEN regexp_extract(html, '<!-- [a-z]+ [0-9]+ -->') END AS note, CASE WHEN regexp_matches(html, 'no such text') THEN '' END AS none FROM pages")
+def parse_regex_fields(spark: SparkSession, d: str) -> DataFrame:
+    got = parsing.regex_fields(F.col("html"), {"lang": '<html lang="([a-z]+)"', "note": "<!-- [a-z]+ [0-9]+ -->", "none": "no such text"}, ["lang", "note", "none"])
+    return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in got.items()])
+
+
+@query("parse_raw_prefix", r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^\s+|\s+$', '', 'g'), '^\s+|\s+$', '', 'g') AS output FROM conversations")
+def parse_raw_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", parsing.raw(F.concat(F.lit(" "), F.col("role"), F.lit(": "), F.col("text"))).alias("output"))
+
+
+@query("parse_schema_struct", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'missing k' END AS error FROM events")
+def parse_schema_struct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", parsing.schema_struct(F.col("props"), "k long")["k"].alias("k"), parsing.schema_error(F.col("props"), "k long", ["k"]).alias("error"))
+
+
+# ---------------------------------------------------------------- rows
+@query("dataset_filter_nullsafe", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IS NOT DISTINCT FROM 'BUILDING' AND c_nationkey IS NOT DISTINCT FROM 7")
+def dataset_filter_nullsafe(spark: SparkSession, d: str) -> DataFrame:
+    return rows.where_equal(table(spark, d, "customer"), {"c_mktsegment": "BUILDING", "c_nationkey": 7, "absent": 1}).select("c_custkey", "c_name")
+
+
+@query("sort_nulls_last_topn", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS FIRST, p_partkey LIMIT 25")
+def sort_nulls_last_topn(spark: SparkSession, d: str) -> DataFrame:
+    return rows.sort(table(spark, d, "part"), "p_retailprice", True, "p_partkey").select("p_partkey", "p_retailprice").limit(25)
+
+
+@query("tail_rows", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey DESC LIMIT 10")
+def tail_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rows.tail(table(spark, d, "part"), 10, "p_partkey").select("p_partkey", "p_name")
+
+
+@query("reservoir_sample_det", "SELECT doc_id FROM documents ORDER BY md5(concat('7:', doc_id)), doc_id LIMIT 50")
+def reservoir_sample_det(spark: SparkSession, d: str) -> DataFrame:
+    return rows.sample(table(spark, d, "documents"), 50, "doc_id", 7).select("doc_id")
+
+
+@query("select_existing", "SELECT s_suppkey, s_name FROM supplier")
+def select_existing(spark: SparkSession, d: str) -> DataFrame:
+    return rows.select(table(spark, d, "supplier"), ["s_suppkey", "nothing", "s_name"])
+
+
+@query("profile_columns", """
+    SELECT 'o_orderkey' AS "column", 'bigint' AS type, count(*) AS rows, count(*) - count(o_orderkey) AS nulls FROM orders
+    UNION ALL SELECT 'o_orderstatus', 'string', count(*), count(*) - count(o_orderstatus) FROM orders
+    UNION ALL SELECT 'o_totalprice', 'double', count(*), count(*) - count(o_totalprice) FROM orders
+""")
+def profile_columns(spark: SparkSession, d: str) -> DataFrame:
+    return rows.profile(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+
+
+@query("column_stats", "SELECT count(*) - count(o_orderpriority) AS isna, count(o_orderpriority) AS notna, count(DISTINCT o_orderpriority) AS nunique FROM orders")
+def column_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rows.column_stats(table(spark, d, "orders"), "o_orderpriority")
+
+
+# ---------------------------------------------------------------- merges
+@query("merge_replace", "SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN quality = 1 THEN 'ok' END ELSE d.source END AS source, toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def merge_replace(spark: SparkSession, d: str) -> DataFrame:
+    got = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").alias("source"), "toxic")
+    return merge.merge_results(table(spark, d, "documents").select("doc_id", "source"), got, "doc_id")
+
+
+@query("merge_update", "SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'ok' END, d.source) AS source FROM documents d LEFT JOIN labels l USING (doc_id)")
+def merge_update(spark: SparkSession, d: str) -> DataFrame:
+    got = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").alias("source"))
+    return merge.merge_results(table(spark, d, "documents").select("doc_id", "source"), got, "doc_id", "update")
+
+
+@query("merge_append", "SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def merge_append(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_results(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "append")
+
+
+@query("merge_on_last_wins", "SELECT c_custkey, (SELECT arg_max(o_totalprice, o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS o_totalprice FROM customer")
+def merge_on_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    return merge.lookup(table(spark, d, "customer").select("c_custkey"), o, "c_custkey", "o_orderkey").select("c_custkey", "o_totalprice")
+
+
+@query("concat_union_columns", "SELECT c_custkey, c_name AS name, NULL AS s_suppkey FROM customer UNION ALL SELECT NULL, s_name, s_suppkey FROM supplier")
+def concat_union_columns(spark: SparkSession, d: str) -> DataFrame:
+    return rows.concat(table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")), table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name")))
+
+
+# ---------------------------------------------------------------- resume
+@query("resume_anti_join", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
+def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return resume.pending(e, e.where("event_type = 'click'"), "event_id").select("event_id")
+
+
+@query("watermark_contiguous", """
+    WITH i AS (SELECT DISTINCT event_id AS i FROM events WHERE event_id % 977 <> 976), r AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS r FROM i), w AS (SELECT coalesce(max(i) FILTER (i = r), -1) AS watermark, count(*) AS completed FROM r)
+    SELECT watermark, completed, completed - watermark - 1 AS beyond FROM w
+""")
+def watermark_contiguous(spark: SparkSession, d: str) -> DataFrame:
+    return resume.watermark(table(spark, d, "events").where("event_id % 977 <> 976"), "event_id")
+
+
+@query("response_log_latest", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL")
+def response_log_latest(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return merge.latest(e.select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+# ---------------------------------------------------------------- quality and errors
+@query("quality_report", """
+    WITH x AS (SELECT CASE WHEN l.doc_id IS NULL THEN NULL WHEN quality = 1 THEN 'good' ELSE ' ' END AS a, CASE WHEN toxic = 1 THEN 'toxic' WHEN toxic = 0 THEN '[SKIPPED]' END AS b FROM documents d LEFT JOIN labels l USING (doc_id)),
+    s AS (SELECT count(*) AS total_rows, count(*) FILTER ((a IS NOT NULL AND trim(a) <> '') OR b = 'toxic') AS valid_rows, count(*) FILTER (a IS NULL) + count(*) FILTER (b IS NULL) AS null_cells, count(*) FILTER (trim(a) = '') + count(*) FILTER (b = '[SKIPPED]') AS empty_cells FROM x),
+    r AS (SELECT *, 100.0 * valid_rows / total_rows AS rate FROM s)
+    SELECT total_rows, valid_rows, null_cells, empty_cells, CAST(round(rate, 4) AS DOUBLE) AS success_rate, CASE WHEN rate >= 95 THEN 'excellent' WHEN rate >= 80 THEN 'good' WHEN rate >= 50 THEN 'poor' ELSE 'critical' END AS quality, rate >= 70 AS acceptable,
+        concat_ws('; ', CASE WHEN rate < 70 THEN 'low success rate' END, CASE WHEN null_cells > 0.6 * total_rows THEN 'many nulls' END, CASE WHEN empty_cells > 0.2 * total_rows THEN 'many empty' END) AS issues FROM r
+""")
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    got = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise(" ").alias("a"), F.when(F.col("toxic") == 1, "toxic").otherwise(quality.SKIPPED).alias("b"))
+    return quality.quality_report(table(spark, d, "documents").select("doc_id").join(got, "doc_id", "left"), ["a", "b"])
+
+
+@query("lost_cells_blanked", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 2 THEN 'null' ELSE event_type END AS out FROM events")
+def lost_cells_blanked(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "null").otherwise(F.col("event_type")).alias("out"))
+    return quality.blank_lost(e, e.where("event_id % 4 = 0"), "event_id", ["out"])
+
+
+@query("auto_retry_pass", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type WHEN event_id % 2 = 0 THEN 'second' WHEN event_id % 5 = 0 THEN 'third' END AS out FROM events")
+def auto_retry_pass(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("out"))
+
+    def again(lost: DataFrame, n: int) -> DataFrame:
+        return lost.withColumn("out", F.when(F.col("event_id") % (2 if n == 1 else 5) == 0, "second" if n == 1 else "third"))
+
+    return quality.retry_failed(e, ["out"], "event_id", again, passes=2)
+
+
+_MESSAGES = ["Connection timeout", "insufficient_quota: add credits", "429 Too Many Requests", "Invalid API key", "model does not exist", "something else"]
+
+
+@query("error_classify", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'network' WHEN 1 THEN 'quota' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'auth' WHEN 4 THEN 'model' WHEN 5 THEN 'other' END AS kind FROM events")
+def error_classify(spark: SparkSession, d: str) -> DataFrame:
+    message = F.when(F.col("event_id") % 7 < 6, F.try_element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 7 + 1).cast("int")))
+    return table(spark, d, "events").select("event_id", parsing.error_kind(message).alias("kind"))
+
+
+@query("error_policy_default", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE event_type END AS out FROM events")
+def error_policy_default(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("out"), F.when(F.col("event_id") % 10 == 0, "bad").alias("error"))
+    return quality.apply_policy(e, ["out"], "error", "use_default", "unknown").drop("error")
+
+
+# ---------------------------------------------------------------- cost
+_TOK = f"CAST(floor(len({_words('text')}) * 13 / 10) AS BIGINT)"
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("stage"), text.token_estimate(F.col("text")).alias("tokens_in"))
+    docs = docs.withColumn("tokens_out", F.floor(F.col("tokens_in") / 2).cast("long"))
+    return docs.withColumn("cost", cost.call_cost(F.col("tokens_in"), F.col("tokens_out"), "0.00015", "0.0006"))
+
+
+_CALLS = f"c AS (SELECT *, CAST((tokens_in * 0.00015 + tokens_out * 0.0006) / 1000 AS DECIMAL(38, 10)) AS cost FROM (SELECT *, tokens_in // 2 AS tokens_out FROM (SELECT doc_id, source AS stage, {_TOK} AS tokens_in FROM documents)))"
+
+
+@query("cost_rollup", f"WITH {_CALLS} SELECT stage, CAST(sum(cost) AS DECIMAL(38, 10)) AS cost, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, count(*) AS calls FROM c GROUP BY ROLLUP (stage)")
+def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return cost.rollup(_calls(spark, d))
+
+
+@query("cost_estimate_sample", f"""
+    WITH s AS (SELECT count(*) AS sampled, sum(t) AS t FROM (SELECT {_TOK} AS t FROM documents ORDER BY doc_id LIMIT 10)), n AS (SELECT count(*) AS rows FROM documents),
+    x AS (SELECT rows, sampled, CAST(floor(t * rows / sampled) AS BIGINT) AS tokens_in, CAST(floor(t * rows / sampled / 2) AS BIGINT) AS tokens_out FROM s, n)
+    SELECT *, CAST((tokens_in * 0.00015 + tokens_out * 0.0006) / 1000 AS DECIMAL(38, 10)) AS cost FROM x
+""")
+def cost_estimate_sample(spark: SparkSession, d: str) -> DataFrame:
+    return cost.estimate(table(spark, d, "documents"), F.col("text"), "doc_id", "0.00015", "0.0006")
+
+
+@query("budget_cutoff", f"""
+    WITH {_CALLS}, r AS (SELECT doc_id, cost, sum(cost) OVER (ORDER BY doc_id) AS spent FROM c)
+    SELECT doc_id, cost, CAST(spent AS DECIMAL(38, 10)) AS spent, CASE WHEN spent > 0.05 THEN 'stop' WHEN spent >= 0.045 THEN 'warn_90' WHEN spent >= 0.0375 THEN 'warn_75' ELSE 'ok' END AS budget_state FROM r
+""")
+def budget_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    return cost.budget(_calls(spark, d), "doc_id", "0.05").select("doc_id", "cost", "spent", "budget_state")
+
+
+@query("deployment_distribution", "SELECT event_type, count(*) AS calls, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS pct FROM events GROUP BY event_type")
+def deployment_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return quality.deployments(table(spark, d, "events"), "event_type")
+
+
+@query("context_window_fit", f"SELECT doc_id, {_TOK} AS tokens, {_TOK} * 10 <= 6553 AS fits, CASE WHEN {_TOK} > 0 THEN CAST(least(500, 6553 // {_TOK}) AS INTEGER) END AS suggested FROM documents")
+def context_window_fit(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return docs.select("*", cost.fits_context(F.col("tokens"), 10, "small-v1").alias("fits"), cost.suggested_batch(F.col("tokens"), "small-v1").alias("suggested"))
+
+
+# ---------------------------------------------------------------- text
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\p{C}', ' ', 'g'), '[®™©℗℠]', '', 'g'), '[^\p{L}\p{N}_\s,\-/.()&]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("clean_text", f"SELECT doc_id, {_CLEAN} AS text FROM documents")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("text"))
+
+
+def _last_sql(part: str) -> str:
+    return f"CASE WHEN strpos(reverse(h), '{part[::-1]}') = 0 THEN -1 ELSE length(h) - strpos(reverse(h), '{part[::-1]}') - {len(part) - 1} END"
+
+
+_TRUNCATED = "CASE WHEN length(t) <= 200 THEN t ELSE concat(trim(substr(t, 1, CASE " + " ".join(f"WHEN ({_last_sql(p)}) > 140 THEN {_last_sql(p)}" for p in ("|", ";", " - ", "  ", " ")) + " ELSE 197 END)), '...') END"
+
+
+@query("truncate_text", f"SELECT doc_id, {_TRUNCATED} AS text FROM (SELECT doc_id, {_CLEAN} AS t, substr({_CLEAN}, 1, 197) AS h FROM documents)")
+def truncate_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.truncate(text.clean(F.col("text")), 200).alias("text"))
+
+
+@query("preprocess_stats", f"""
+    WITH x AS (SELECT text, {_TRUNCATED} AS a FROM (SELECT text, {_CLEAN} AS t, substr({_CLEAN}, 1, 197) AS h FROM documents)),
+    s AS (SELECT count(*) AS rows_processed, count(*) - count(text) AS null_count, CAST(sum(length(text)) AS BIGINT) AS chars_before, CAST(sum(length(a)) AS BIGINT) AS chars_after, count(*) FILTER (length(text) > 200) AS truncated_count FROM x)
+    SELECT *, CAST(round(100.0 * (chars_before - chars_after) / chars_before, 4) AS DOUBLE) AS reduction_pct FROM s
+""")
+def preprocess_stats(spark: SparkSession, d: str) -> DataFrame:
+    return text.preprocess_stats(table(spark, d, "documents"), "text", 200)
+
+
+def _redact_sql(c: str) -> str:
+    for rx in text.REDACTIONS.values():
+        quoted = rx.replace("'", "''")
+        c = f"regexp_replace({c}, '{quoted}', '[REDACTED]', 'g')"
+    return c
+
+
+@query("redact_pii", f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents")
+def redact_pii(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
+
+
+@query("nfc_normalise", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def nfc_normalise(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.nfc(F.col("text")).alias("text"))
+
+
+# ---------------------------------------------------------------- retrieval
+@query("token_frequency", f"""
+    WITH t AS (SELECT item_id, {_tokens('text')} AS w FROM benchmark), u AS (SELECT item_id, len(w) AS size, unnest(w) AS term FROM t)
+    SELECT item_id, term, count(*) AS n, round(count(*) / any_value(size), 6) AS tf FROM u GROUP BY item_id, term
+""")
+def token_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.term_frequency(table(spark, d, "benchmark"), "item_id", "text").withColumn("tf", F.round("tf", 6))
+
+
+def _pairs_sql(source: str, key: str) -> str:
+    return f"""
+        w AS (SELECT {key}, 1 AS l, unnest({_tokens('a')}) AS t FROM {source} UNION ALL SELECT {key}, 0, unnest({_tokens('b')}) FROM {source}),
+        n AS (SELECT {key}, t, sum(l) AS x, sum(1 - l) AS y FROM w GROUP BY ALL),
+        q AS (SELECT {key}, sum(x * y) AS dot, sum(x * x * CASE WHEN y > 0 THEN 1 ELSE {(1 + math.log(2)) ** 2} END) AS xx, sum(y * y * CASE WHEN x > 0 THEN 1 ELSE {(1 + math.log(2)) ** 2} END) AS yy FROM n GROUP BY {key}),
+        sim AS (SELECT {key}, CASE WHEN q.dot IS NULL THEN 1.0 WHEN xx = 0 OR yy = 0 THEN 0.0 ELSE dot / sqrt(xx * yy) END AS similarity FROM (SELECT DISTINCT {key} FROM {source}) LEFT JOIN q USING ({key}))"""
+
+
+_QA = "p AS (SELECT u.conv_id * 1000 + u.turn AS id, u.text AS b, v.text AS a FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1 AND u.role = 'user' AND v.role = 'assistant')"
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    u = c.where("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("question"))
+    v = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("at"), F.col("text").alias("answer"))
+    return u.join(v, ["conv_id", "at"]).select((F.col("conv_id") * 1000 + F.col("at")).alias("id"), "question", "answer")
+
+
+@query("tfidf_pair", f"WITH {_QA}, {_pairs_sql('p', 'id')} SELECT id, round(similarity, 6) AS similarity FROM sim")
+def tfidf_pair(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.tfidf_pairs(_answers(spark, d), "id", "answer", "question").withColumn("similarity", F.round("similarity", 6))
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+_Q = f"q AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text')}) AS word FROM benchmark)"
+_RANKED = "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {1}) AS INTEGER) AS rank FROM {0}) WHERE rank <= {2}"
+
+
+@query("overlap_search_topk", f"WITH {_Q}, s AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN documents ON contains(lower(text), word) GROUP BY ALL) {_RANKED.format('s', 'doc_id', 5)}")
+def overlap_search_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.overlap(table(spark, d, "documents"), _queries(spark, d), 5)
+
+
+_BM25 = f"""
+    {_Q}, d AS (SELECT doc_id, {_tokens("coalesce(text, '')")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS average FROM d),
+    tf AS (SELECT doc_id, size, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+    s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))), 6) AS score FROM q JOIN tf USING (word) JOIN df USING (word), st GROUP BY ALL)"""
+
+
+@query("bm25_topk", f"WITH {_BM25} {_RANKED.format('s', 'doc_id', 10)}")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d), 10)
+
+
+_DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    s AS (SELECT b.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE b.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))"""
+
+
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    """The first vector of each label."""
+    e = table(spark, d, "embeddings")
+    return e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.drop("label"), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query("dense_cosine_topk", f"WITH {_DENSE} {_RANKED.format('s', 'vec_id', 10)}")
+def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.dense(table(spark, d, "embeddings"), _probes(spark, d), 10)
+
+
+@query("rrf_hybrid", f"""
+    WITH {_BM25}, l AS ({_RANKED.format('s', 'doc_id', 20)}), o0 AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN documents ON contains(lower(text), word) GROUP BY ALL), o AS ({_RANKED.format('o0', 'doc_id', 20)}),
+    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM l UNION ALL SELECT query_id, doc_id, rank FROM o) GROUP BY ALL)
+    {_RANKED.format('f', 'doc_id', 10)}
+""")
+def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    docs, q = table(spark, d, "documents"), _queries(spark, d)
+    return retrieval.hybrid(retrieval.bm25(docs, q, 20), retrieval.overlap(docs, q, 20), 10, "query_id", "doc_id")
+
+
+@query("kb_context_augment", f"""
+    WITH {_BM25}, h AS ({_RANKED.format('s', 'doc_id', 3)})
+    SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS _kb_context, count(*) AS _evidence_count FROM h JOIN documents USING (doc_id) WHERE score >= 0.1 GROUP BY query_id
+""")
+def kb_context_augment(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return retrieval.context(retrieval.bm25(docs, _queries(spark, d), 3), docs, "query_id", "doc_id", "text", 0.1)
+
+
+@query("chunk_fixed")
+def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", 128)
+
+
+@query("chunk_semantic")
+def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.semantic_chunks(table(spark, d, "documents"), "doc_id", "text", 128)
+
+
+# ---------------------------------------------------------------- grounding
+_GROUND = f"{_QA}, {_pairs_sql('p', 'id')}, g AS (SELECT id, round(similarity, 6) AS similarity, CASE WHEN round(similarity, 6) >= 0.05 THEN round(similarity, 6) ELSE 0.0 END AS _grounding_score, round(similarity, 6) >= 0.05 AS grounded FROM sim)"
+
+
+@query("grounding_score", f"WITH {_GROUND} SELECT * FROM g")
+def grounding_score(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.grounding(_answers(spark, d), "id", "answer", ["question"], 0.05)
+
+
+@query("confidence_modes", f"WITH {_GROUND} SELECT id, round(least(1.0, _grounding_score * 0.7 + (id % 7) / 5 * 0.3 * (CASE WHEN id % 7 <= 5 THEN 1 ELSE 5.0 / (id % 7) END)), 6) AS standard, round(1 / (1 + exp(-10 * (_grounding_score - 0.3))), 6) AS sigmoid, round(least(1.0, _grounding_score), 6) AS grounding_only FROM g")
+def confidence_modes(spark: SparkSession, d: str) -> DataFrame:
+    g = grounding.grounding(_answers(spark, d), "id", "answer", ["question"], 0.05)
+    s = F.col("_grounding_score")
+    return g.select("id", F.round(grounding.confidence(s, F.col("id") % 7), 6).alias("standard"), F.round(grounding.confidence(s, mode="sigmoid"), 6).alias("sigmoid"), F.round(grounding.confidence(s, mode="grounding_only"), 6).alias("grounding_only"))
+
+
+@query("contradiction_pairs", """
+    WITH o AS (SELECT concat(o_custkey, '/', o_orderpriority) AS k, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS v, min(o_orderkey) AS o FROM orders GROUP BY ALL)
+    SELECT a.k AS k, a.o AS first, b.o AS second, a.v AS value_a, b.v AS value_b FROM o a JOIN o b ON a.k = b.k AND a.o < b.o AND abs(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE)) > 100000
+""")
+def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.concat_ws("/", "o_custkey", "o_orderpriority").alias("k"), F.floor("o_totalprice").alias("v"), "o_orderkey")
+    return grounding.contradictions(o, "k", "v", "o_orderkey", 100000)
+
+
+@query("contradiction_symmetric", """
+    WITH o AS (SELECT o_custkey AS k, o_orderpriority AS v, min(o_orderkey) AS o FROM orders GROUP BY ALL), p AS (SELECT a.o AS first, b.o AS second FROM o a JOIN o b ON a.k = b.k AND a.o < b.o AND a.v <> b.v)
+    SELECT first, second FROM p UNION SELECT second, first FROM p
+""")
+def contradiction_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.symmetric(grounding.contradictions(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey"))
+
+
+@query("evidence_support", "SELECT user_id, count(*) AS support_count FROM (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY user_id")
+def evidence_support(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.support(table(spark, d, "events"), "user_id", ["event_type", "props"])
+
+
+@query("first_claims", "SELECT user_id, min(event_id) AS event_id, count(*) AS stored FROM events GROUP BY user_id")
+def first_claims(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.first_claims(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+# ---------------------------------------------------------------- composition, batches, streams, models
+@query("composer_two_step", f"SELECT doc_id, {_BAND} AS band, concat({_BAND}, '-', lang) AS label FROM documents")
+def composer_two_step(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    c = Composer()
+    c.add_column("label", lambda x: x.withColumn("label", prompt.render(x, "{band}-{lang}")), ["band"])
+    c.add_column("band", lambda x: x.withColumn("band", _band(prompt.render(x, "size {n_chars}"))))
+    return c.execute(docs).select("doc_id", "band", "label")
+
+
+@query("provider_batch_jsonl", "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index, text AS reply, CAST(NULL AS VARCHAR) AS error FROM conversations")
+def provider_batch_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").withColumn("__key", F.struct("conv_id", "turn"))
+    requests = jsonl.encode(rows.with_row_index(c, "__key"), rows.INDEX, "text", "small-v1")
+    content = F.get_json_object("line", "$.body.messages[0].content")
+    body = F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"))
+    return jsonl.decode(requests.select(F.to_json(F.struct("custom_id", F.struct(body.alias("body")).alias("response"))).alias("line")))
+
+
+@query("stream_window_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL")
+def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    return windowed(table(spark, d, "events"), "ts", "1 day", "1 hour", ["event_type"])
+
+
+@query("remote_model_ledger", "SELECT doc_id, concat('Document ', doc_id, ' in ', lang) AS reply, CAST(4 AS BIGINT) AS tokens_in, CAST(NULL AS VARCHAR) AS error FROM documents")
+def remote_model_ledger(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    asked = docs.select("doc_id", prompt.render(docs, "Document {doc_id} in {lang}").alias("prompt"))
+    return invoke(asked, "prompt", EchoClient, ["doc_id"]).select("doc_id", "reply", "tokens_in", "error")
