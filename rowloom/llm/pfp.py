@@ -58,7 +58,7 @@ def phrase_keys(h: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
     """A 64-bit hash of each phrase ``h[at[i] : at[i + 1] + w]``."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h))[:-1], dtype=np.uint64)))
     a, b = at[:-1], at[1:] + w
-    return mix((sums[b] - sums[a]) * _powers(_BASE_INV, len(h))[a] + (b - a).astype(np.uint64))
+    return mix(mix((sums[b] - sums[a]) * _powers(_BASE_INV, len(h))[a]) + (b - a).astype(np.uint64))
 
 
 class Parse:
@@ -146,9 +146,8 @@ def corpus_order(text: np.ndarray, cut: np.ndarray, where: np.ndarray, m: int, w
     start = np.flatnonzero(begins)
     last_of_window = np.append(window_end[start[1:]] != window_end[start[:-1]], True)
     stop = np.where(last_of_window, window_end[start], np.append(start[1:] + w, 0))
-    # a window's first trigger may lie at its very start: no phrase of its own is needed then
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(text.astype(np.uint64) * _powers(_BASE, len(text))[:-1], dtype=np.uint64)))
-    keys = mix((sums[stop] - sums[start]) * _powers(_BASE_INV, len(text))[start] + (stop - start).astype(np.uint64))
+    keys = mix(mix((sums[stop] - sums[start]) * _powers(_BASE_INV, len(text))[start]) + (stop - start).astype(np.uint64))
     _, one, word = np.unique(keys, return_index=True, return_inverse=True)
     # dictionary: the distinct phrases one after the other, and its suffix array
     size = stop[one] - start[one]
