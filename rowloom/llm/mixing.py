@@ -74,7 +74,8 @@ def solve(
         lgs = []  # a floor and two margins may exclude each other
     m = len(ses) + len(lgs) + 1
     centre = sum(c["l"] for c in cells) / n_all
-    target = np.array([total * share[s] for s in ses] + [total * lw[k] for k in lgs] + [0.0])
+    logs = {s: sum(c["l"] for c in cells if c["source"] == s) / by_source[s] - centre for s in ses}
+    target = np.array([total * share[s] for s in ses] + [total * lw[k] for k in lgs] + [total * sum(share[s] * logs[s] for s in ses)])
     lam = np.array([np.log(max(total * share[s] / by_source[s], 1e-12)) for s in ses] + [0.0] * (len(lgs) + 1))
     si, li = {s: i for i, s in enumerate(ses)}, {k: len(ses) + i for i, k in enumerate(lgs)}
     small = np.log(floor) if floor > 0 else -np.inf
@@ -121,7 +122,13 @@ def solve(
             scale /= 2
         lam = lam + scale * step
         value, grad, hess = new
+    if lgs and np.abs(grad).max() > 1e-4 * total:
+        # the margins exclude each other, as when a source has one language: the sources' shares go first
+        narrow_table.drop()
+        return solve(docs, weights, temperature, total, floor, tol, max_iter, id_col, text_col, source_col, "")
     rates = {(c["source"], c["lang"]): float(lam[si[c["source"]]] + (lam[li[c["lang"]]] if c["lang"] in li else 0.0)) for c in cells if c["source"] in si}
+    # a source without tokens bears on nothing: its texts stay as they are, unless the weights leave it out
+    rates |= {(c["source"], c["lang"]): 0.0 for c in cells if not by_source[c["source"]] and (weights is None or weights.get(c["source"], 0) > 0)}
     narrow_table.drop()
     return lambda df: _rated(df, rates, float(lam[-1]), centre, floor, id_col, text_col, source_col, lang_col)
 
@@ -134,7 +141,7 @@ def _rated(df: DataFrame, rates: dict | None, nu: float, centre: float, floor: f
     else:
         table = F.broadcast(df.sparkSession.createDataFrame([(s, g, b) for (s, g), b in rates.items()], "__s string, __g string, __b double"))
         lang = F.coalesce(F.col(f"`{lang_col}`"), F.lit("")) if lang_col in df.columns else F.lit("")
-        u = F.col("__b") + F.lit(nu) * (F.log(F.greatest("__n", F.lit(1))) - F.lit(centre))
+        u = F.col("__b") + F.when(F.col("__n") > 0, F.lit(nu) * (F.log(F.greatest("__n", F.lit(1))) - F.lit(centre))).otherwise(0.0)
         df = df.join(table, (F.coalesce(F.col(f"`{source_col}`"), F.lit("")) == F.col("__s")) & (lang == F.col("__g")), "left")
         df = df.withColumn("__rate", F.when(F.col("__b").isNull(), F.lit(0.0)).otherwise(F.greatest(F.exp(u), F.lit(float(floor))))).drop("__s", "__g", "__b")
     whole = F.floor("__rate")
@@ -146,8 +153,9 @@ def balance(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """Rates r of the documents that are nearest to 1 in token-weighted entropy and meet token constraints.
 
     Minimises ``sum n (r log r - r + 1)`` over ``r >= floor`` such that every source has its share ``weights``
-    of the ``total`` tokens, every language keeps its share at ``temperature`` (skipped without ``lang_col``),
-    and the token-weighted mean of log length stays what it was.  The convex dual has one multiplier a
+    of the ``total`` tokens, every language keeps its share at ``temperature`` (skipped without ``lang_col``, or
+    if the sources' shares rule it out), and the token-weighted mean of log length is that of the sources as they
+    are, in their new shares.  The convex dual has one multiplier a
     constraint, and ``r = max(floor, exp(lambda . z))``.  Each Newton step is one pass of the narrow table
     (source, lang, length): gradient and Hessian are sums over documents, aggregated by Spark by
     (source, lang); the driver only solves the system of constraints.
@@ -160,7 +168,7 @@ def balance(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
     Returns (doc_id, source, n_tokens, rate, copies) for every row.  NULL sources and languages are
     groups of their own (named "" in ``weights``).  NULL or blank texts have 0 tokens and bear on no
-    constraint; they get their group's rate.  NULL ids are rounded by the hash of NULL.  Repeated rows count
+    constraint; they get their group's rate, 1 in a source without tokens.  NULL ids are rounded by the hash of NULL.  Repeated rows count
     each.  Other columns are ignored.  An empty table, or one without tokens, gives rate 1.
     """
     rated = solve(docs, id_col=id_col, source_col=source_col, **params)(docs)
