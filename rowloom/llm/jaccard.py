@@ -12,9 +12,9 @@ at most ``slack = |x| - ceil(t |x|)`` of its n-grams are missing from a partner.
   that both sides form the same pairs; below ``SINGLES`` n-grams every n-gram is a signature.
 
 N-grams that only one document has fill prefixes but are never sent, hence text without copies costs
-next to nothing after the counting pass.  Documents that share a signature form components; each
-document's set is sent once to its component (to a few tiles of it, when it is large), where all pairs
-are verified exactly on the whole sets.
+next to nothing after the counting pass.  Documents that share a signature, and whose bitmaps do not rule
+out the threshold, form components; each document's set is sent once to its component (to a few tiles of
+it, when it is large), where all pairs are verified exactly on the whole sets.
 """
 
 from __future__ import annotations
@@ -87,6 +87,89 @@ def signatures(s: np.ndarray, freq: Frequent, t: float) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _map_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmap of a set of so many n-grams: two bits for each, rounded up to a power of two."""
+    return np.maximum(1, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64) >> 6)
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """The set's n-grams by their low bits."""
+    n = 64 * int(_map_words(np.array([len(s)]))[0])
+    bits = np.zeros(n, bool)
+    bits[s & np.uint64(n - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def linked(sig: np.ndarray, row: np.ndarray, ids: np.ndarray, sizes: np.ndarray, maps: bytes, t: float) -> np.ndarray:
+    """Star edges (id, id) of the components of the documents that share a signature and may be similar enough.
+
+    Document ``row[i]`` has the signature ``sig[i]``.  Every bit of x's bitmap that y's lacks is an n-gram of x that
+    y lacks, so ``|x & y| <= |x| - bits(x, not y)``; a pair that this rules out is no edge.  Nor is a pair looked at
+    that is connected already, hence copies cost one comparison each.
+    """
+    n_words = _map_words(sizes)
+    off = np.cumsum(n_words) - n_words
+    flat = np.frombuffer(maps, np.uint64)
+    level = np.log2(n_words).astype(np.int64)
+    at = np.empty(len(ids), np.int64)
+    own: dict[int, np.ndarray] = {}
+    half: dict[int, np.ndarray] = {}
+    for v in np.unique(level).tolist():
+        who = np.flatnonzero(level == v)
+        at[who] = np.arange(len(who))
+        own[v] = flat[off[who][:, None] + np.arange(1 << v)]
+        if v:
+            half[v] = own[v][:, : 1 << v >> 1] | own[v][:, 1 << v >> 1 :]
+    parent = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def may_match(i: int, others: np.ndarray) -> np.ndarray:
+        m, mine = int(sizes[i]), int(level[i])
+        others = others[(sizes[others] >= t * m - 1e-9) & (t * sizes[others] <= m + 1e-9)]
+        found = []
+        for v in (mine - 1, mine, mine + 1, mine + 2, mine - 2):
+            ys = others[level[others] == v]
+            if not len(ys):
+                continue
+            if abs(v - mine) > 1:
+                found.append(ys)  # sizes so far apart only meet at low thresholds; the verification decides
+                continue
+            x = half[mine][at[i]] if v < mine else own[mine][at[i]]
+            y = half[v][at[ys]] if v > mine else own[v][at[ys]]
+            most = np.minimum(m - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), sizes[ys] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            found.append(ys[most * (1 + t) >= t * (m + sizes[ys]) - 1e-9])
+        return np.concatenate(found) if found else others[:0]
+
+    order = np.lexsort((row, sig))
+    sig, row = sig[order], row[order]
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))), len(sig))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a < 2:
+            continue
+        group = row[a:b]
+        root = np.array([find(i) for i in group.tolist()])
+        for k in range(b - a - 1):
+            other = root[k + 1 :] != root[k]
+            if not other.any():
+                if (root == root[0]).all():
+                    break
+                continue
+            hit = may_match(int(group[k]), group[k + 1 :][other])
+            for j in hit.tolist():
+                r, q = find(int(group[k])), find(j)
+                if r != q:
+                    parent[max(r, q)] = min(r, q)
+            if len(hit):
+                root = np.array([find(i) for i in group.tolist()])
+    edge = [(int(ids[find(i)]), int(ids[i])) for i in range(len(ids)) if find(i) != i]
+    return np.array(edge, np.int64).reshape(-1, 2)
+
+
 def _pairs(ids: list[int], sets: list[np.ndarray], left: range, right: range, t: float) -> Iterator[tuple[int, int, int, int]]:
     """(a, b, common, union) with Jaccard >= t for a in left, b in right, each pair once."""
     if not left or not right:
@@ -118,8 +201,8 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int =
     repeat an id, the pair of two equal ids is never reported.  Columns beside the two are ignored.  An
     empty table gives an empty result.
     """
-    if not 0.2 <= t <= 1:
-        raise ValueError("t must lie between 0.2 and 1")
+    if not 0.25 <= t <= 1:
+        raise ValueError("t must lie between 0.25 and 1")
     spark = docs.sparkSession
     src = with_row_key(docs, [id_col, text_col]).where("k0 is not null and k1 is not null")
     n_shards = shards(spark)
@@ -139,39 +222,44 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int =
         for batch in batches:
             for part in pieces(batch, "k1"):
                 sets = shingles(Words(part.column("k1"), lower=True), n)
-                rows = [(i, sig.tobytes(), s.tobytes()) for i, s in zip(part.column("k0").to_pylist(), sets) if len(s) and len(sig := signatures(s, f, t))]
+                rows = [(i, len(s), bitmap(s), sig.tobytes(), s.tobytes()) for i, s in zip(part.column("k0").to_pylist(), sets) if len(s) and len(sig := signatures(s, f, t))]
                 if rows:
-                    ids, sigs, all_ = zip(*rows)
-                    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "sigs": pa.array(sigs, pa.binary()), "grams": pa.array(all_, pa.binary())})
+                    ids, sizes, maps, sigs, all_ = zip(*rows)
+                    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "map": pa.array(maps, pa.binary()), "sigs": pa.array(sigs, pa.binary()), "grams": pa.array(all_, pa.binary())})
 
-    cand = Table(src.mapInArrow(candidates, "id long, sigs binary, grams binary"))
+    cand = Table(src.mapInArrow(candidates, "id long, size long, map binary, sigs binary, grams binary"))
     freq.unpersist()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.uint64(64 - int(math.log2(n_shards)))
+        to_shard = np.uint64(64 - int(math.log2(n_shards)))
         for batch in batches:
             sigs = [np.frombuffer(x, np.uint64) for x in batch.column("sigs").to_pylist()]
             if not sigs:
                 continue
-            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(x) for x in sigs])
+            row = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
             sig = np.concatenate(sigs)
             order = np.argsort(sig, kind="stable")
-            sig, ids = sig[order], ids[order]
-            cuts = np.concatenate((np.searchsorted(sig, np.arange(n_shards, dtype=np.uint64) << bits), [len(sig)]))
-            used = [s for s in range(n_shards) if cuts[s + 1] > cuts[s]]
-            yield pa.record_batch({"shard": pa.array(used, pa.int32()), "sig": pa.array([sig[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()), "ids": pa.array([ids[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary())})
-
-    def stars(table: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("sig").to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        order = np.lexsort((ids, sig))
-        sig, ids = sig[order], ids[order]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        low = np.repeat(ids[first], np.diff(np.append(first, len(sig))))
-        edge = np.unique(np.stack((low, ids), 1)[low != ids], axis=0)
+            sig, row = sig[order], row[order]
+            cuts = np.searchsorted(sig >> to_shard, np.arange(n_shards + 1, dtype=np.uint64))
+            ids, sizes, maps = batch.column("id").to_numpy(zero_copy_only=False), batch.column("size").to_numpy(zero_copy_only=False), batch.column("map").to_pylist()
+            out: list[tuple] = []
+            for s in range(n_shards):
+                if cuts[s + 1] > cuts[s]:
+                    own, at = np.unique(row[cuts[s] : cuts[s + 1]], return_inverse=True)
+                    out.append((s, sig[cuts[s] : cuts[s + 1]].tobytes(), at.astype(np.int32).tobytes(), ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), b"".join(maps[i] for i in own)))
+            cols = list(zip(*out))
+            yield pa.record_batch([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "sig", "row", "ids", "sizes", "maps"])
+
+    def link(table: pa.Table) -> pa.Table:
+        def col(name: str, kind: type) -> list[np.ndarray]:
+            return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+
+        ids, rows = col("ids", np.int64), col("row", np.int32)
+        base = np.cumsum([0] + [len(x) for x in ids])[:-1]
+        edge = linked(np.concatenate(col("sig", np.uint64)), np.concatenate([r + b for r, b in zip(rows, base)]), np.concatenate(ids), np.concatenate(col("sizes", np.int32)).astype(np.int64), b"".join(table.column("maps").to_pylist()), t)
         return pa.table({"a": pa.array(edge[:, 0], pa.int64()), "b": pa.array(edge[:, 1], pa.int64())})
 
-    edges = cand.df.select("id", "sigs").mapInArrow(split, "shard int, sig binary, ids binary").groupBy("shard").applyInArrow(stars, "a long, b long")
+    edges = cand.df.select("id", "size", "map", "sigs").mapInArrow(split, "shard int, sig binary, row binary, ids binary, sizes binary, maps binary").groupBy("shard").applyInArrow(link, "a long, b long")
     member = Table(components(edges))
     sizes = member.df.groupBy("root").agg(F.count("*").alias("n"))
     # A component of up to `tile` documents is one tile; a larger one has ceil(n / tile) chunks and a tile for each two.
