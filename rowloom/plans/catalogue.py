@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowloom.api import enrich
 from rowloom.catalog import query, table
 from rowloom.functions import cost, parsing, prompt, similarity, text
-from rowloom.operators import batches, grounding, merge, quality, resume, retrieval, rows
+from rowloom.operators import batches, grounding, merge, quality, resume, retrieval, rows, runs
 from rowloom.operators.compose import Composer
 from rowloom.operators.invoke import EchoClient, invoke
 from rowloom.sources import jsonl
@@ -515,3 +515,40 @@ def remote_model_ledger(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     asked = docs.select("doc_id", prompt.render(docs, "Document {doc_id} in {lang}").alias("prompt"))
     return invoke(asked, "prompt", EchoClient, ["doc_id"]).select("doc_id", "reply", "tokens_in", "error")
+
+
+# ---------------------------------------------------------------- runs
+@query("run_state_ledger", """
+    WITH e AS (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'submitted' WHEN 1 THEN 'running' WHEN 2 THEN 'paused' ELSE 'completed' END AS state FROM events),
+    l AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY event_id), 'created') AS b FROM e),
+    k AS (SELECT *, b = state OR (b, state) IN (('created', 'submitted'), ('created', 'running'), ('submitted', 'running'), ('running', 'paused'), ('running', 'completed'), ('paused', 'running')) AS ok FROM l)
+    SELECT user_id, arg_max(state, event_id) AS state, count(*) AS changes, count(*) FILTER (NOT ok) AS illegal FROM k GROUP BY user_id
+""")
+def run_state_ledger(spark: SparkSession, d: str) -> DataFrame:
+    state = F.element_at(F.array(*map(F.lit, ["submitted", "running", "paused", "completed"])), (F.col("event_id") % 4 + 1).cast("int"))
+    return runs.run_states(table(spark, d, "events").select("user_id", "event_id", state.alias("state")), "user_id", "state", "event_id")
+
+
+@query("event_metrics", "SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS total, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY user_id")
+def event_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return runs.metrics(table(spark, d, "events"), "event_type", ["user_id"], "value")
+
+
+@query("deployment_labels", "SELECT event_type, coalesce(['first', 'second'][row_number() OVER (ORDER BY min(event_id))], event_type) AS label FROM events GROUP BY event_type")
+def deployment_labels(spark: SparkSession, d: str) -> DataFrame:
+    return runs.labels(table(spark, d, "events"), "event_type", "event_id", ["first", "second"])
+
+
+@query("routed_calls")
+def routed_calls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", runs.route(F.col("o_orderkey"), {"east": 3, "west": 1}).alias("deployment"))
+
+
+@query("rerank_hits", f"""
+    WITH {_BM25}, h AS ({_RANKED.format('s', 'doc_id', 10)}), n AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY n_chars, rank, doc_id) AS r FROM h JOIN documents USING (doc_id))
+    SELECT query_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM n WHERE r <= 5
+""")
+def rerank_hits(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    hits = retrieval.bm25(docs, _queries(spark, d), 10).join(docs.select("doc_id", "n_chars"), "doc_id")
+    return retrieval.rerank(hits, -F.col("n_chars"), 5, "query_id", "doc_id").select("query_id", "doc_id", "score", "rank")

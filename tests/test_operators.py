@@ -238,3 +238,20 @@ def test_stream_equals_batch(spark, tmp_path):
     runner.run_batches(stream, lambda b: b.withColumn("x", F.col("id") * 2), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/out").agg(F.sum("x")).first()[0] == 870
     assert runner.totals(spark, f"file://{tmp_path}/out").count() == 3
+
+
+def test_routes_labels_and_judges(spark, tmp_path):
+    from rowloom.operators import runs
+
+    got = {r["d"]: r["n"] for r in spark.range(4000).groupBy(runs.route(F.col("id"), {"a": 3, "b": 1, "c": 0}).alias("d")).agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {"a", "b"} and 2.5 < got["a"] / got["b"] < 3.5
+    with pytest.raises(ValueError):
+        runs.route(F.col("id"), {})
+    q = spark.createDataFrame([(1, "x"), (2, "y")], "query_id int, query string")
+    many = retrieval.with_variants(q, "query_id", "query", lambda c: F.when(c == "x", F.array(F.lit("x"), F.lit("z"))))
+    assert sorted(tuple(r) for r in many.collect()) == [(1, "x"), (1, "z"), (2, "y")]
+    got = retrieval.rag_scores(F.col("t"))
+    row = spark.createDataFrame([('```json\n{"faithfulness": 2, "relevance": 0.5}\n```',)], "t string").select(*[c.alias(n) for n, c in got.items()]).first()
+    assert tuple(row) == (1.0, 0.5, None)
+    (tmp_path / "session=a").mkdir()
+    assert runs.sessions(str(tmp_path)) == ["a"] and runs.clean(str(tmp_path), -1) == ["a"] and runs.sessions(str(tmp_path)) == []
