@@ -49,6 +49,10 @@ def shingles(words: Words, n: int) -> list[np.ndarray]:
     return out
 
 
+def _id_keys(batch: pa.RecordBatch) -> np.ndarray:
+    return mix(batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)) >> _DROP
+
+
 def scheme(size: int) -> int:
     return size.bit_length() - 1
 
@@ -222,14 +226,12 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int =
         for batch in batches:
             for part in pieces(batch, "k1"):
                 sets = shingles(Words(part.column("k1"), lower=True), n)
-                rows = [(i, len(s), bitmap(s), sig.tobytes(), s.tobytes()) for i, s in zip(part.column("k0").to_pylist(), sets) if len(s) and len(sig := signatures(s, f, t))]
+                rows = [(i, len(s), bitmap(s), sig.tobytes()) for i, s in zip(part.column("k0").to_pylist(), sets) if len(s) and len(sig := signatures(s, f, t))]
                 if rows:
-                    ids, sizes, maps, sigs, all_ = zip(*rows)
-                    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "map": pa.array(maps, pa.binary()), "sigs": pa.array(sigs, pa.binary()), "grams": pa.array(all_, pa.binary())})
-
-    cand = Table(src.mapInArrow(candidates, "id long, size long, map binary, sigs binary, grams binary"))
-    freq.unpersist()
+                    ids, sizes, maps, sigs = zip(*rows)
+                    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "map": pa.array(maps, pa.binary()), "sigs": pa.array(sigs, pa.binary())})
 
+    cand = src.mapInArrow(candidates, "id long, size long, map binary, sigs binary")
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_shard = np.uint64(64 - int(math.log2(n_shards)))
         for batch in batches:
@@ -259,8 +261,26 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int =
         edge = linked(np.concatenate(col("sig", np.uint64)), np.concatenate([r + b for r, b in zip(rows, base)]), np.concatenate(ids), np.concatenate(col("sizes", np.int32)).astype(np.int64), b"".join(table.column("maps").to_pylist()), t)
         return pa.table({"a": pa.array(edge[:, 0], pa.int64()), "b": pa.array(edge[:, 1], pa.int64())})
 
-    edges = cand.df.select("id", "size", "map", "sigs").mapInArrow(split, "shard int, sig binary, row binary, ids binary, sizes binary, maps binary").groupBy("shard").applyInArrow(link, "a long, b long")
+    edges = cand.mapInArrow(split, "shard int, sig binary, row binary, ids binary, sizes binary, maps binary").groupBy("shard").applyInArrow(link, "a long, b long")
     member = Table(components(edges))
+    freq.unpersist()
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(to_shards(_id_keys(batch), n_shards))
+            if rows:
+                yield pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    # Only documents that have an edge are parsed again and sent; a bitmap of their ids picks them.
+    linked_ids = spark.sparkContext.broadcast(frequent(member.df.select("id").mapInArrow(key, "shard int, payload binary"), [1], n_shards))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(linked_ids.value.has(0, _id_keys(batch))))
+            for part in pieces(batch, "k1"):
+                sets = shingles(Words(part.column("k1"), lower=True), n)
+                yield pa.record_batch({"id": part.column("k0").cast(pa.int64()), "grams": pa.array([x.tobytes() for x in sets], pa.binary())})
+
     sizes = member.df.groupBy("root").agg(F.count("*").alias("n"))
     # A component of up to `tile` documents is one tile; a larger one has ceil(n / tile) chunks and a tile for each two.
     placed = (
@@ -290,10 +310,13 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int =
             at = end
         ab = np.array(out, np.int64).reshape(-1, 4)
         ab = ab[ab[:, 0] != ab[:, 1]]
-        a, b = np.minimum(ab[:, 0], ab[:, 1]), np.maximum(ab[:, 0], ab[:, 1])
+        ab[:, :2].sort(axis=1)
+        # rows that repeat an id share their tile, so a pair found twice is found twice here
+        ab = ab[np.unique(ab[:, :2], axis=0, return_index=True)[1]]
+        a, b = ab[:, 0], ab[:, 1]
         return pa.table({"doc_a": a, "doc_b": b, "common": ab[:, 2], "total": ab[:, 3], "jaccard": ab[:, 2] / np.maximum(ab[:, 3], 1)})
 
-    return placed.join(cand.df.select("id", "grams"), "id").groupBy("bucket").applyInArrow(verify, "doc_a long, doc_b long, common long, total long, jaccard double").dropDuplicates(["doc_a", "doc_b"])
+    return placed.join(src.mapInArrow(whole, "id long, grams binary"), "id").groupBy("bucket").applyInArrow(verify, "doc_a long, doc_b long, common long, total long, jaccard double")
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
