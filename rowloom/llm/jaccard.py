@@ -174,25 +174,26 @@ def linked(sig: np.ndarray, row: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
     return np.array(edge, np.int64).reshape(-1, 2)
 
 
-def _pairs(ids: list[int], sets: list[np.ndarray], left: range, right: range, t: float) -> Iterator[tuple[int, int, int, int]]:
-    """(a, b, common, union) with Jaccard >= t for a in left, b in right, each pair once."""
+def _pairs(ids: np.ndarray, sets: list[np.ndarray], left: range, right: range, t: float) -> Iterator[np.ndarray]:
+    """Rows (a, b, common, union) with Jaccard >= t for a in left, b in right, each pair once: an array for each a."""
     if not left or not right:
         return
     sizes = np.array([len(x) for x in sets], np.int64)
-    allof = np.concatenate(sets)
-    _, code = np.unique(allof, return_inverse=True)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code = code.astype(np.int32)
     off = np.concatenate(([0], np.cumsum(sizes)))
-    mark = np.zeros(int(code.max()) + 1, np.int64)
+    mark = np.zeros(int(code.max()) + 1, np.int32)
     same = left == right
     for i in left:
         lo = i + 1 if same else right[0]
         if lo > right[-1]:
             continue
         mark[code[off[i] : off[i + 1]]] = 1
-        inter = np.add.reduceat(mark[code[off[lo] : off[right[-1] + 1]]], off[lo : right[-1] + 1] - off[lo])
+        inter = np.add.reduceat(mark[code[off[lo] : off[right[-1] + 1]]], off[lo : right[-1] + 1] - off[lo]).astype(np.int64)
         union = sizes[i] + sizes[lo : right[-1] + 1] - inter
-        for k in np.flatnonzero(inter >= t * union - 1e-9).tolist():
-            yield ids[i], ids[lo + k], int(inter[k]), int(union[k])
+        hit = np.flatnonzero(inter >= t * union - 1e-9)
+        if len(hit):
+            yield np.stack((np.full(len(hit), ids[i]), ids[lo + hit], inter[hit], union[hit]), 1)
         mark[code[off[i] : off[i + 1]]] = 0
 
 
@@ -295,7 +296,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int =
     def verify(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_pylist() for c in ("root", "ti", "tj", "mine", "id", "grams")}
         order = sorted(range(table.num_rows), key=lambda r: (cols["root"][r], cols["ti"][r], cols["tj"][r], cols["mine"][r], cols["id"][r]))
-        out: list[tuple[int, int, int, int]] = []
+        out: list[np.ndarray] = [np.empty((0, 4), np.int64)]
         at = 0
         while at < len(order):
             key = tuple(cols[c][order[at]] for c in ("root", "ti", "tj"))
@@ -303,12 +304,12 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int =
             while end < len(order) and tuple(cols[c][order[end]] for c in ("root", "ti", "tj")) == key:
                 end += 1
             rows = order[at:end]
-            ids, sets = [cols["id"][r] for r in rows], [np.frombuffer(cols["grams"][r], np.uint64) for r in rows]
+            ids, sets = np.array([cols["id"][r] for r in rows], np.int64), [np.frombuffer(cols["grams"][r], np.uint64) for r in rows]
             n_left = sum(cols["mine"][r] == key[1] for r in rows)
             left, right = range(n_left), range(n_left, len(rows))
             out.extend(_pairs(ids, sets, left, left if key[1] == key[2] else right, t))
             at = end
-        ab = np.array(out, np.int64).reshape(-1, 4)
+        ab = np.concatenate(out)
         ab = ab[ab[:, 0] != ab[:, 1]]
         ab[:, :2].sort(axis=1)
         # rows that repeat an id share their tile, so a pair found twice is found twice here
