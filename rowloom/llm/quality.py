@@ -4,11 +4,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rowloom.llm.common import Words, pieces, with_row_key
 
@@ -23,6 +23,8 @@ QUANTILE = 0.002
 #: Beginnings of rare words are features if at most this share of documents hold them.
 RARE = 0.08
 ROUNDS = 120
+#: Bytes of text scored at a time, and words whose features a task remembers.
+SCORE_BYTES, SEEN_WORDS = 2 << 20, 200_000
 L2 = 1e-3
 
 _UPPER, _DIGIT, _BANG, _BAR, _MARK, _SPACE, _LINE, _STOP, _OTHER = range(9)
@@ -32,8 +34,9 @@ for _chars, _to in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", _UPPER), (b"0123456789", _DI
 NUMERIC = 13
 
 
-def numeric_features(texts: pa.Array, words: Words) -> np.ndarray:
-    """One row a document: logs of length, shares of byte classes, word lengths and repetition."""
+def numeric_features(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """One row a document: logs of length, shares of byte classes, word lengths and repetition; and the distinct
+    (document << 32 | word) pairs."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
@@ -59,7 +62,7 @@ def numeric_features(texts: pa.Array, words: Words) -> np.ndarray:
     x[:, 10] = distinct / np.maximum(n, 1)
     x[:, 11] = most / np.maximum(n, 1)
     x[:, 12] = n == 0
-    return x
+    return x, pair[first]
 
 
 def _bare(word: str) -> str:
@@ -98,12 +101,21 @@ class Ranker:
         self.number = {f: i for i, f in enumerate(self.lexicon)}
         self.weights = np.fromiter(self.lexicon.values(), np.float64, len(self.lexicon))
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        words = Words(texts, lower=True)
-        out = numeric_features(texts, Words(texts)) @ self.w
-        if len(words.codes) and len(self.weights):
-            pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(words.off)) << 32 | words.codes)
-            doc, col = _expand(pair >> 32, pair & 0xFFFFFFFF, [_features(_bare(w), self.number) for w in words.vocab])
+    def scores(self, texts: pa.Array, seen: dict[str, list[int]]) -> np.ndarray:
+        """The score of each text.  ``seen`` remembers the features of words between calls."""
+        words = Words(texts)
+        x, pair = numeric_features(texts, words)
+        out = x @ self.w
+        if len(pair) and len(self.weights):
+            if len(seen) > SEEN_WORDS:
+                seen.clear()
+            features = []
+            for w in words.vocab:
+                got = seen.get(w)
+                if got is None:
+                    got = seen[w] = _features(_bare(w.lower()), self.number)
+                features.append(got)
+            doc, col = _expand(pair >> 32, pair & 0xFFFFFFFF, features)
             out += np.bincount(doc, weights=self.weights[col], minlength=len(texts))
         return out
 
@@ -149,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_do
         return None
     xs, docs_at, words_at, vocab = [], [], [], {}
     for part in pieces(pa.record_batch({"t": pa.array([r["k1"] for r in rows], pa.string())}), "t"):
-        xs.append(numeric_features(part.column("t"), Words(part.column("t"))))
+        xs.append(numeric_features(part.column("t"), Words(part.column("t")))[0])
         words = Words(part.column("t"), lower=True)
         ids = np.array([vocab.setdefault(_bare(w), len(vocab)) for w in words.vocab], np.int64)
         base = sum(len(x) for x in xs[:-1])
@@ -168,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_do
     doc, col = _expand(np.concatenate(docs_at), word, [_features(w, lexicon) for w in names])
     w, lw = _bradley_terry(x, doc, col, len(lexicon), np.flatnonzero(ok), np.flatnonzero(~ok), np.random.default_rng(seed))
     model = Ranker(w, {k: float(lw[i]) for k, i in lexicon.items() })
-    scored = score(both.where("ok"), model, "k0", "k1")
+    # every document is scored where it lies; only ids and scores meet the labels
+    scored = score(docs.where(F.col(f"`{text_col}`").isNotNull()), model, id_col, text_col).join(lab.where("ok").select("__i"), F.col("doc_id") == F.col("__i"), "left_semi")
     model.threshold = float(scored.agg(F.percentile("score", quantile)).first()[0])
     return model
 
@@ -178,9 +191,10 @@ def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
         for batch in batches:
-            for part in pieces(batch, "k1"):
-                yield pa.record_batch({"doc_id": part.column("k0").cast(pa.int64()), "score": pa.array(shared.value.scores(part.column("k1")))})
+            for part in pieces(batch, "k1", SCORE_BYTES):
+                yield pa.record_batch({"doc_id": part.column("k0").cast(pa.int64()), "score": pa.array(shared.value.scores(part.column("k1"), seen))})
 
     return with_row_key(docs, [id_col, text_col]).mapInArrow(run, "doc_id long, score double")
 
@@ -197,12 +211,17 @@ def keep_good(docs: DataFrame, model: Ranker | None, text_col: str = "text", wit
         return kept.withColumn("score", F.lit(None).cast("double")) if with_score else kept
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rank(texts: pd.Series) -> pd.Series:
-        m, out = shared.value, []
-        for part in pieces(pa.record_batch({"t": pa.array(texts, pa.string())}), "t"):
-            out.append(m.scores(part.column("t")))
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+    at = docs.columns.index(text_col)
 
-    scored = docs.where(F.col(f"`{text_col}`").isNotNull()).withColumn("__score", F.pandas_udf(rank, "double")(F.col(f"`{text_col}`"))).where(F.col("__score") >= model.threshold)
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = shared.value, {}
+        for batch in batches:
+            for part in pieces(batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]), f"c{at}", SCORE_BYTES):
+                s = m.scores(part.column(at), seen)
+                kept = pa.Table.from_batches([part]).append_column("__score", pa.array(s)).filter(pa.array(s >= m.threshold))
+                yield from kept.rename_columns(schema.names).to_batches()
+
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    scored = docs.where(F.col(f"`{text_col}`").isNotNull()).mapInArrow(rank, schema)
     names = [F.col(f"`{c}`") for c in docs.columns if not (with_score and c == "score")]
     return scored.select(*names, *([F.col("__score").alias("score")] if with_score else []))
