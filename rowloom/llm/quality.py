@@ -89,6 +89,20 @@ def _expand(doc: np.ndarray, word: np.ndarray, features: list[list[int]]) -> tup
     return pair >> 32, pair & 0xFFFFFFFF
 
 
+def _expand_all(doc: np.ndarray, word: np.ndarray, features: list[list[int]], step: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """``_expand`` of rising documents, ``step`` of them at a time: what it needs in between stays small."""
+    cuts = np.append(np.searchsorted(doc, np.arange(0, int(doc[-1]) + 1, step)), len(doc)) if len(doc) else np.zeros(1, np.int64)
+    parts = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b > a:
+            own, at = np.unique(word[a:b], return_inverse=True)
+            d, c = _expand(doc[a:b], at, [features[w] for w in own.tolist()])
+            parts.append((d.astype(np.int32), c.astype(np.int32)))
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 @dataclass
 class Ranker:
     """score(d) = numeric . w + the weights of d's distinct words and, for rare words, of their distinct beginnings."""
@@ -160,24 +174,28 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_do
     if not ok.any() or ok.all():
         return None
     xs, docs_at, words_at, vocab = [], [], [], {}
-    for part in pieces(pa.record_batch({"t": pa.array([r["k1"] for r in rows], pa.string())}), "t"):
+    texts = pa.record_batch({"t": pa.array([r["k1"] for r in rows], pa.string())})
+    n_rows = len(rows)
+    del rows
+    for part in pieces(texts, "t", SCORE_BYTES):
         xs.append(numeric_features(part.column("t"), Words(part.column("t")))[0])
         words = Words(part.column("t"), lower=True)
         ids = np.array([vocab.setdefault(_bare(w), len(vocab)) for w in words.vocab], np.int64)
         base = sum(len(x) for x in xs[:-1])
         pair = np.unique((np.repeat(np.arange(len(xs[-1])), np.diff(words.off)) + base) << 32 | ids[words.codes])
-        docs_at.append(pair >> 32)
-        words_at.append(pair & 0xFFFFFFFF)
-    x, doc, word = np.concatenate(xs), np.concatenate(docs_at), np.concatenate(words_at)
+        docs_at.append((pair >> 32).astype(np.int32))
+        words_at.append((pair & 0xFFFFFFFF).astype(np.int32))
+    x, at, word = np.concatenate(xs), np.concatenate(docs_at), np.concatenate(words_at)
+    del texts, xs, docs_at, words_at
     names = list(vocab)
     held = np.bincount(word, minlength=len(names))
     known = [w for w, n in zip(names, held.tolist()) if n >= MIN_DOCS and w]
     starts = {f: len(known) + i for i, f in enumerate(dict.fromkeys(f for w, n in zip(names, held.tolist()) if n < MIN_DOCS for f in _beginnings(w)))}
     every = {**{w: i for i, w in enumerate(known)}, **starts}
-    doc, col = _expand(doc, word, [_features(w, every) for w in names])
+    _, col = _expand_all(at, word, [_features(w, every) for w in names])
     share = np.bincount(col, minlength=len(every))
-    lexicon = {f: i for i, f in enumerate(f for f, i in every.items() if i < len(known) or MIN_DOCS <= share[i] <= RARE * len(rows))}
-    doc, col = _expand(np.concatenate(docs_at), word, [_features(w, lexicon) for w in names])
+    lexicon = {f: i for i, f in enumerate(f for f, i in every.items() if i < len(known) or MIN_DOCS <= share[i] <= RARE * n_rows)}
+    doc, col = _expand_all(at, word, [_features(w, lexicon) for w in names])
     w, lw = _bradley_terry(x, doc, col, len(lexicon), np.flatnonzero(ok), np.flatnonzero(~ok), np.random.default_rng(seed))
     model = Ranker(w, {k: float(lw[i]) for k, i in lexicon.items() })
     # every document is scored where it lies; only ids and scores meet the labels
