@@ -4,6 +4,11 @@ The recursions run over blocks of ``BLOCK`` words, all blocks of a batch abreast
 (the product of its transitions and emissions) is computed once; chaining those matrices along a document gives
 the exact forward vector at the start of each block and the exact backward vector at its end, so long documents
 are as parallel as short ones and nothing is cut off or approximated.
+
+Every distinct word is a symbol of its own, known by a 64-bit key, and has a row of emissions; these grow with the
+corpus and are held by no task as a whole.  Documents are stored in parts with the sorted keys of their words.  In
+a round each part meets the emissions of its own keys, sends what it expects of them to the keys' shards, and the
+shards send the sums back to the parts that asked: two shuffles, and only the transitions pass through the driver.
 """
 
 from __future__ import annotations
@@ -14,18 +19,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from rowloom.llm.common import Table, Words, mix, pieces, shards, with_row_key
 
 STATES, ROUNDS = 4, 4
-#: Words are hashed to 2 ** BITS symbols: what is broadcast has this size whatever the corpus.
+#: ``train`` alone folds words to 2 ** BITS symbols, for a model that fits in memory.
 BITS = 18
 BLOCK = 64
 #: Added to every expected count of an emission.
 SMOOTH = 0.01
 #: Words that a task works on at a time.
 CHUNK = 1 << 20
+#: Words of a part: more of them share more rows of emissions, and so send less.
+PART_WORDS = 1 << 22
 _RESCALE = 8
 
 
@@ -277,13 +287,210 @@ def score(encoded: DataFrame, model: Model) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, perplexity double")
 
 
-def lm_score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# ---------------------------------------------------------------- every word a symbol
+_PARTS = "part long, ids array<long>, sizes binary, keys binary, codes binary"
+_COUNTS = "shard int, part long, keys binary, counts binary"
+#: What a shard sends back: to each part the emissions of its keys, times the state's total, and to part -1 the totals.
+_EMITS = "part long, shard int, emits binary"
+
+
+def encode_parts(docs: DataFrame, id_col: str, text_col: str, words: int = PART_WORDS) -> DataFrame:
+    """Parts of at least ``words`` words, less at the end of a task: ids and sizes of the documents, the sorted
+    64-bit keys of the distinct words, and each word as an index into them (byte planes, compressed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, held, many = TaskContext.get().partitionId(), 0, [], 0
+        pack = zstandard.ZstdCompressor(3)
+
+        def flush() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([k for _, _, k, _ in held]), return_inverse=True)
+            base = np.cumsum([0, *(len(k) for _, _, k, _ in held)])
+            codes = np.concatenate([at[b + c] for b, (_, _, _, c) in zip(base, held)]).astype("<u4")
+            planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()
+            ids = pa.concat_arrays([i for i, _, _, _ in held])
+            sizes = np.concatenate([z for _, z, _, _ in held])
+            return pa.record_batch({"part": pa.array([task << 32 | n], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "sizes": pa.array([sizes.tobytes()], pa.binary()), "keys": pa.array([keys.tobytes()], pa.binary()), "codes": pa.array([pack.compress(planes)], pa.binary())})
+
+        for batch in batches:
+            for piece in pieces(batch, "k1"):
+                w = Words(piece.column("k1"), lower=True)
+                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, w.vocab), np.uint64, len(w.dictionary))
+                held.append((piece.column("k0").cast(pa.int64()), np.diff(w.off), keys, w.codes))
+                many += len(w.codes)
+                if many >= words:
+                    yield flush()
+                    n, held, many = n + 1, [], 0
+        if held:
+            yield flush()
+
+    return with_row_key(docs, [id_col, text_col]).mapInArrow(run, _PARTS)
+
+
+def _open(part: dict) -> tuple[np.ndarray, Iterator[tuple[slice, np.ndarray, np.ndarray]]]:
+    """The keys of a part, and its documents in slices of about ``CHUNK`` words: slice, codes, sizes."""
+    keys, sizes = np.frombuffer(part["keys"], np.uint64), np.frombuffer(part["sizes"], np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(part["codes"]), np.uint8)
+    codes = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    ends = np.cumsum(sizes)
+
+    def slices() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        at, done = 0, 0
+        while at < len(sizes):
+            stop = max(at + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
+            yield slice(at, stop), codes[done : int(ends[stop - 1])], sizes[at:stop]
+            at, done = stop, int(ends[stop - 1])
+
+    return keys, slices()
+
+
+def _to_key_shards(part: int, keys: np.ndarray, counts: np.ndarray, rest: np.ndarray, n_shards: int) -> pa.Table:
+    """A part's counts, a row a shard (the leading bits of the key); the few others in a shard of their own."""
+    top = np.arange(1, n_shards, dtype=np.uint64) << np.uint64(64 - int(math.log2(n_shards)))
+    cuts = np.concatenate(([0], np.searchsorted(keys, top), [len(keys)]))
+    rows = [(s, keys[a:b].tobytes(), counts[a:b].astype(np.float32).tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+    rows.append((n_shards, b"", rest.astype(float).tobytes()))
+    s, k, c = zip(*rows)
+    return pa.table({"shard": pa.array(s, pa.int32()), "part": pa.array([part] * len(rows), pa.int64()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
+
+
+def _shake(keys: np.ndarray, counts: np.ndarray, states: int) -> np.ndarray:
+    """First emissions: the word's frequency, shaken for each state by a hash of key and state."""
+    noise = mix(keys[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(float) / 2.0**64
+    return (counts + SMOOTH) * (0.5 + noise)
+
+
+def _exchange(counted: DataFrame, n_shards: int, states: int, first: bool) -> Table:
+    """Sum the counts of each key over all parts and send each part the emissions of its own keys."""
+    width = 1 if first else states
+
+    def add(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        if shard == n_shards:
+            rest = np.array([np.frombuffer(x) for x in table.sort_by("part").column("counts").to_pylist()]).sum(0)
+            return pa.table({"part": pa.array([-1], pa.int64()), "shard": pa.array([shard], pa.int32()), "emits": pa.array([rest.tobytes()], pa.binary())})
+        table = table.sort_by("part")  # sums do not depend on which part came first
+        own = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(own), return_inverse=True)
+        cuts = np.cumsum([0, *map(len, own)]).tolist()
+        total = np.zeros((len(keys), width))
+        for a, b, x in zip(cuts[:-1], cuts[1:], table.column("counts").to_pylist()):
+            total[at[a:b]] += np.frombuffer(x, np.float32).reshape(-1, width)
+        emit = (_shake(keys, total, states) if first else total + SMOOTH).astype(np.float32)
+        sums = np.append(emit.sum(0, dtype=float), len(keys))
+        parts = [*table.column("part").to_pylist(), -1]
+        emits = [emit[at[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] + [sums.tobytes()]
+        return pa.table({"part": pa.array(parts, pa.int64()), "shard": pa.array([shard] * len(parts), pa.int32()), "emits": pa.array(emits, pa.binary())})
+
+    return Table(counted.groupBy("shard").applyInArrow(add, _EMITS))
+
+
+@dataclass
+class Corpus:
+    """A model whose emissions lie in ``emits``, a table of the shared folder; ``totals`` are each state's sum."""
+
+    start: np.ndarray
+    move: np.ndarray
+    totals: np.ndarray
+    n_symbols: int
+    emits: Table
+    log_likelihood: list[float]
+
+    def of(self, right: pa.Table) -> Model:
+        """The model over the keys of one part, from the rows that the shards sent it."""
+        rows = right.sort_by("shard").column("emits").to_pylist()
+        emit = np.frombuffer(b"".join(rows), np.float32).reshape(-1, len(self.start)) / self.totals
+        return Model(self.start, self.move, emit, [])
+
+
+def _gathered(emits: Table, n_shards: int, states: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Each state's total, the number of distinct words, and what the parts sent beside emissions."""
+    totals, rest = np.zeros(states + 1), np.zeros(0)
+    for row in emits.df.where("part = -1").orderBy("shard").toLocalIterator():
+        if row["shard"] == n_shards:
+            rest = np.frombuffer(row["emits"])
+        else:
+            totals += np.frombuffer(row["emits"])
+    return totals[:states], int(totals[states]), rest
+
+
+def train_words(parts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Corpus:
+    """Baum-Welch on every word of every document, each distinct word a symbol."""
+    spark = parts.sparkSession
+    n_shards = shards(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1).to_pylist()[0]
+                keys, slices = _open(part)
+                total = np.zeros(len(keys))
+                for _, codes, _ in slices:
+                    total += np.bincount(codes, minlength=len(keys))
+                yield from _to_key_shards(part["part"], keys, total[:, None], np.zeros(1), n_shards).to_batches()
+
+    emits = _exchange(parts.mapInArrow(count, _COUNTS), n_shards, states, True)
+    totals, n_symbols, _ = _gathered(emits, n_shards, states)
+    move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
+    model = Corpus(np.full(states, 1 / states), move, totals, n_symbols, emits, [])
+    for _ in range(rounds if n_symbols else 0):
+        light = _light(model)
+
+        def expect(left: pa.Table, right: pa.Table) -> pa.Table:
+            part, m = left.to_pylist()[0], light.of(right)  # noqa: B023 (sent to the tasks in this round)
+            keys, slices = _open(part)
+            counts, rest = np.zeros((len(keys), states)), np.zeros(states * states + states + 1)
+            for _, codes, sizes in slices:
+                e, a, s, ll = expectations(codes, sizes, m)
+                counts += e
+                rest += np.concatenate((a.ravel(), s, [ll]))
+            return _to_key_shards(part["part"], keys, counts, rest, n_shards)
+
+        emits = _exchange(_meet(parts, model).applyInArrow(expect, _COUNTS), n_shards, states, False)
+        totals, _, rest = _gathered(emits, n_shards, states)
+        model.emits.drop()
+        spark.sparkContext._jvm.System.gc()  # the round's shuffle files go with the driver's garbage, else all rounds' stay
+        moves, starts = rest[: states * states].reshape(states, states) + SMOOTH, rest[states * states : -1] + SMOOTH
+        model = Corpus(starts / starts.sum(), moves / moves.sum(1)[:, None], totals, n_symbols, emits, [*model.log_likelihood, float(rest[-1])])
+    return model
+
+
+def _light(model: Corpus) -> Corpus:
+    """The model without its table, to be sent to tasks."""
+    return Corpus(model.start, model.move, model.totals, model.n_symbols, None, [])
+
+
+def _meet(parts: DataFrame, model: Corpus):
+    """Each part beside the emissions of its own keys."""
+    return parts.groupBy("part").cogroup(model.emits.df.where("part >= 0").groupBy("part"))
+
+
+def score_words(parts: DataFrame, model: Corpus) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, perplexity) of every row."""
+    light = _light(model)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        part, m = left.to_pylist()[0], light.of(right)
+        sizes = np.frombuffer(part["sizes"], np.int64)
+        ll = np.zeros(len(sizes))
+        for where, codes, own in _open(part)[1]:
+            ll[where] = log_likelihood(codes, own, m)
+        ppl = np.exp(np.minimum(-ll / np.maximum(sizes, 1), 700))
+        return pa.table({"doc_id": pa.array(part["ids"], pa.int64()), "n_words": pa.array(sizes), "log_likelihood": pa.array(ll), "perplexity": pa.array(ppl, mask=sizes == 0)})
+
+    return _meet(parts, model).applyInArrow(run, "doc_id long, n_words long, log_likelihood double, perplexity double")
+
+
+def lm_score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train the model on the documents and score each one: (doc_id, n_words, log_likelihood, perplexity).
 
-    Words are split at whitespace and lower-cased; they stand for symbols by hash, so words may share one.  The
-    likelihood is that of the whole text.  NULL, empty and blank texts are empty sequences: likelihood 1, hence a
-    log of 0, and a NULL perplexity.  Rows with a NULL id are trained on and scored under a NULL doc_id; repeated
-    rows count each and score alike.  Other columns are ignored.  An empty table gives an empty result.
+    Words are split at whitespace and lower-cased; each distinct word is a symbol, known by a 64-bit hash.  With
+    ``bits`` they are folded to 2 ** bits symbols instead, and words may share one.  The likelihood is that of the
+    whole text.  NULL, empty and blank texts are empty sequences: likelihood 1, hence a log of 0, and a NULL
+    perplexity.  Rows with a NULL id are trained on and scored under a NULL doc_id; repeated rows count each and
+    score alike.  Other columns are ignored.  An empty table gives an empty result.
     """
-    encoded = Table(encode(docs, id_col, text_col))
-    return score(encoded.df, train(encoded.df, states, rounds, bits))
+    if bits is not None:
+        encoded = Table(encode(docs, id_col, text_col))
+        return score(encoded.df, train(encoded.df, states, rounds, bits))
+    parts = Table(encode_parts(docs, id_col, text_col))
+    return score_words(parts.df, train_words(parts.df, states, rounds))

@@ -8,9 +8,11 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plain import plain_pairs
+from rowloom.llm.common import Table
 from rowloom.llm import exact, hmm, html, jaccard, mixing, packing, pfp, pii, quality, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, shard string, score string, k0 string"
@@ -114,6 +116,40 @@ def test_hmm_query(spark, corpus):
     assert hmm.lm_score(df.limit(0), bits=6).count() == 0
 
 
+def test_hmm_every_word_is_a_symbol(spark, corpus, monkeypatch):
+    monkeypatch.setattr(hmm, "CHUNK", 500)
+    rare = " ".join(f"once{i}" for i in range(3000))  # far more words than the folded model has symbols for
+    rows = [*corpus, (None, "x bal x", "a"), (90, rare, "a")]
+    df = docs_of(spark, rows).repartition(3)
+    parts = Table(hmm.encode_parts(df, "doc_id", "text")).df
+    assert parts.count() == 3
+    model = hmm.train_words(parts, states=3, rounds=3)
+    vocab = sorted({w for _, t, _ in rows for w in (t or "").lower().split()})
+    assert model.n_symbols == len(vocab)
+    # the same rounds on one dense table
+    key = np.array([xxhash.xxh3_64_intdigest(w) for w in vocab], np.uint64)
+    at = {w: i for i, w in enumerate(vocab)}
+    texts = [[at[w] for w in (t or "").lower().split()] for _, t, _ in rows]
+    codes, sizes = np.array([c for t in texts for c in t]), np.array([len(t) for t in texts])
+    emit = hmm._shake(key, np.bincount(codes, minlength=len(vocab)).astype(float)[:, None], 3)
+    m = hmm.Model(np.full(3, 1 / 3), np.full((3, 3), 0.5 / 3) + 0.5 * np.eye(3), emit / emit.sum(0), [])
+    for _ in range(3):
+        e, a, s, ll = hmm.expectations(codes, sizes, m)
+        m = hmm.maximise(e, a, s, [*m.log_likelihood, ll])
+    np.testing.assert_allclose(model.log_likelihood, m.log_likelihood, rtol=1e-5)
+    np.testing.assert_allclose(model.move, m.move, rtol=1e-3)
+    got = {r["doc_id"]: r for r in hmm.score_words(parts, model).collect()}
+    assert len(got) == len(rows)
+    for (i, _, _), t in zip(rows, texts):
+        assert got[i]["n_words"] == len(t)
+        assert got[i]["log_likelihood"] == pytest.approx(plain_forward(t, m), rel=1e-4)
+    assert got[83]["log_likelihood"] == 0 and got[83]["perplexity"] is None
+    # the query itself gives words that occur once the probability of such words
+    whole = {r["doc_id"]: r["perplexity"] for r in hmm.lm_score(df, states=3, rounds=3).collect()}
+    assert whole[90] == pytest.approx(got[90]["perplexity"], rel=1e-3)
+    assert hmm.lm_score(df.limit(0)).count() == 0 and hmm.lm_score(df.where("doc_id in (82, 83)")).count() == 2
+
+
 # ---------------------------------------------------------------- 2
 def plain_passages(rows, m):
     """Spans of which every m words occur in another document."""
