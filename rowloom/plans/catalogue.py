@@ -414,6 +414,14 @@ def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense(table(spark, d, "embeddings"), _probes(spark, d), 10)
 
 
+# Every vector is a query here; the SQL of dense_cosine_topk asks with the first of each label only, and SQL over all
+# pairs is too slow on whole tables: tests/test_operators.py compares with brute force.
+@query("dense_cosine_neighbours")
+def dense_cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return retrieval.dense_blocks(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 10)
+
+
 @query("rrf_hybrid", f"""
     WITH {_BM25}, l AS ({_RANKED.format('s', 'doc_id', 20)}), o0 AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN documents ON contains(lower(text), word) GROUP BY ALL), o AS ({_RANKED.format('o0', 'doc_id', 20)}),
     f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM l UNION ALL SELECT query_id, doc_id, rank FROM o) GROUP BY ALL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import UTC, datetime
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,27 @@ def test_routes_labels_and_judges(spark, tmp_path):
     assert tuple(row) == (1.0, 0.5, None)
     (tmp_path / "session=a").mkdir()
     assert runs.sessions(str(tmp_path)) == ["a"] and runs.clean(str(tmp_path), -1) == ["a"] and runs.sessions(str(tmp_path)) == []
+
+
+def test_every_vector_is_a_query(spark):
+    from rowloom.plans.catalogue import dense_cosine_neighbours
+
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    m = np.array(e["embedding"].tolist(), float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in dense_cosine_neighbours(spark, sf).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(e["vec_id"])
+    ids = e["vec_id"].to_numpy()
+    for i, s in zip(ids.tolist(), np.round(m @ m.T, 6)):
+        best = np.lexsort((ids, -s))[:10]
+        assert [x[:2] for x in sorted(got[i])] == list(zip(range(1, 11), ids[best].tolist()))
+    # ties, NULL, empty, zero and shorter vectors, in blocks smaller than k
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.5]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [1.0]), (8, [1.0, 0.0]), (9, [0.3, 0.7])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    for k in (1, 3, 20):
+        assert sorted(map(tuple, retrieval.dense_blocks(v, q, k, block=2).collect())) == sorted(map(tuple, retrieval.dense(v, q, k).collect()))
+    assert retrieval.dense_blocks(v.limit(0), q, 3).count() == 0
