@@ -1,7 +1,9 @@
 """HTML extraction (operator 7): the suffix array of a host finds boilerplate, what remains is the page.
 
 The visible tokens of all pages of a host are one token stream.  Substrings of ``MIN_TOKENS`` or more tokens that
-distinct pages of the host share are boilerplate; the runs of tokens that they leave uncovered are the page's own.
+distinct pages of the host share are boilerplate, and so are shorter runs, of ``MIN_BLOCK_TOKENS`` or more, if they
+are whole blocks on both pages: a navigation or a footer of a few words, but no few words that two articles have in
+common.  The runs of tokens that are left uncovered are the page's own.
 The suffix array is that of ``rowloom.llm.pfp``, with token hashes salted by the host: its shards cut across hosts,
 so a host with most of the pages is as parallel as the rest.
 """
@@ -24,6 +26,8 @@ from rowloom.llm.common import mix, pieces, shards, with_row_key
 from rowloom.llm.pfp import repeated_spans
 
 MIN_TOKENS = 12
+#: Shared runs of whole blocks are boilerplate from so many tokens.
+MIN_BLOCK_TOKENS = 4
 TRIGGER_TOKENS, TRIGGER_MODULUS = 2, 3
 #: A run of the page's own tokens must be so long to be kept; shorter ones are scraps between two boilerplates.
 MIN_RUN = 1
@@ -47,10 +51,31 @@ def visible_text(page: str) -> str:
     return _html.unescape(_TAG.sub("", text)).replace("\0", "")
 
 
+def blocks_of(page: str | None) -> list[list[str]]:
+    """``tokens_of`` by block, without blocks that have none; line ends of the source end no block."""
+    if not page:
+        return []
+    lines = _TAG.sub("", _BLOCK.sub("\n", _GONE.sub(" ", page).replace("\n", " "))).replace("\0", "").split("\n")
+    return [w for x in lines if (w := (_html.unescape(x) if "&" in x else x).split())]
+
+
 def tokens_of(page: str | None) -> list[str]:
     return visible_text(page).split() if page else []
 
 
+def block_windows(ends: np.ndarray, least: int, most: int) -> np.ndarray:
+    """(start, end) of the shortest runs of whole blocks of ``least`` tokens or more from each block on and up to
+    each block, without those of ``most`` or more.  They cover every longer run.  Blocks end at ``ends``."""
+    cuts = np.concatenate(([0], ends))
+    first = np.searchsorted(cuts, cuts[:-1] + least)
+    ok = first < len(cuts)
+    on = np.stack((cuts[:-1][ok], cuts[first[ok]]), 1)
+    last = np.searchsorted(cuts, cuts[1:] - least, side="right") - 1
+    ok = last >= 0
+    both = np.unique(np.concatenate((on, np.stack((cuts[last[ok]], cuts[1:][ok]), 1))), axis=0)
+    return both[both[:, 1] - both[:, 0] < most]
+
+
 def _stream(part: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each page, content digests, offsets, and token hashes salted by the host."""
     pages = [tokens_of(t) for t in part.column("k2").to_pylist()]
@@ -72,10 +97,56 @@ def _stream(part: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarr
     return pages, digest, off, flat
 
 
-def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_RUN, w: int = TRIGGER_TOKENS, p: int = TRIGGER_MODULUS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def shared_blocks(src: DataFrame, least: int, most: int) -> DataFrame:
+    """(id, start, length) of the windows of whole blocks that distinct pages of a host share."""
+    n_shards = shards(src.sparkSession)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "k2"):
+                h = xxhash.xxh3_64_intdigest
+                page, at, key, digest = [], [], [], np.zeros(part.num_rows, np.int64)
+                for i, (url, text) in enumerate(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist())):
+                    tok, size = [], []
+                    for b in blocks_of(text):
+                        tok += b
+                        size.append(len(b))
+                    salt = h(host_of(url))
+                    digest[i] = h(" ".join(tok)) - (1 << 63)
+                    for a, b in block_windows(np.cumsum(size), least, most).tolist() if size else ():
+                        page.append(i)
+                        at.append((a, b))
+                        key.append(h(" ".join(tok[a:b]), salt))
+                if not at:
+                    continue
+                page, at, key = np.array(page), np.array(at), np.array(key, np.uint64)
+                ids = part.column("k0").cast(pa.int64()).to_numpy(zero_copy_only=False)
+                shard = (key % np.uint64(n_shards)).astype(np.int64)
+                for s in np.unique(shard).tolist():
+                    own = np.flatnonzero(shard == s)
+                    rows, where = np.unique(page[own], return_inverse=True)
+                    cols = [key[own], ids[rows], digest[rows], where.astype(np.int32), at[own].astype(np.int32)]
+                    yield pa.record_batch([pa.array([s], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cols]], names=["shard", "keys", "ids", "docs", "page", "spans"])
+
+    def search(t: pa.Table) -> pa.Table:
+        got = [[np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("keys", np.uint64), ("ids", np.int64), ("docs", np.int64), ("page", np.int32), ("spans", np.int32))]
+        keys, spans = np.concatenate(got[0]), np.concatenate(got[4]).reshape(-1, 2).astype(np.int64)
+        ids, docs = (np.concatenate([x[p] for x, p in zip(got[i], got[3])]) for i in (1, 2))
+        order = np.argsort(keys, kind="stable")
+        run = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        shared = np.minimum.reduceat(docs[order], run) != np.maximum.reduceat(docs[order], run)
+        hit = order[np.repeat(shared, np.diff(np.append(run, len(order))))]
+        a, b = spans[hit, 0], spans[hit, 1]
+        return pa.table({"id": pa.array(ids[hit]), "start": pa.array(a), "length": pa.array(b - a)})
+
+    return src.mapInArrow(windows, "shard int, keys binary, ids binary, docs binary, page binary, spans binary").groupBy("shard").applyInArrow(search, "id long, start long, length long")
+
+
+def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_RUN, w: int = TRIGGER_TOKENS, p: int = TRIGGER_MODULUS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_block: int = MIN_BLOCK_TOKENS) -> DataFrame:
     """(page_id, host, text, n_tokens, n_boilerplate): each page without what it shares with other pages of its host.
 
-    Every ``min_tokens`` tokens in a row that another page of the host has too are boilerplate; runs of at least
+    Every ``min_tokens`` tokens in a row that another page of the host has too are boilerplate, and every run of whole
+    blocks of ``min_block`` tokens or more that another page has as whole blocks; runs of at least
     ``min_run`` other tokens are kept, a line each.  Pages with the same tokens are one page: copies do not make
     each other boilerplate.  The head, scripts, styles and comments are no text.  Broken markup is read as far as
     it goes: an unclosed comment or script hides the rest.
@@ -91,7 +162,8 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
         _, digest, off, h = _stream(part)
         return part.column("k0").cast(pa.int64()).to_numpy(zero_copy_only=False), digest, off, h
 
-    spans = repeated_spans(rows.where("k0 is not null and k2 is not null"), "k2", tokens, min_tokens, w, p)
+    known = rows.where("k0 is not null and k2 is not null")
+    spans = repeated_spans(known, "k2", tokens, min_tokens, w, p).union(shared_blocks(known, min_block, min_tokens))
     n_shards = shards(spark)
     # Both sides come to a page's bucket in packed form: one compressed row for each bucket of a batch.
     bucket = F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")
@@ -119,8 +191,8 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
                 for a, b in [*sorted(at.get(i, [])), (len(tok), len(tok))]:
                     if a - done >= min_run and a > done:
                         lines.append(" ".join(tok[done:a]))
-                    covered += b - a
-                    done = b
+                    covered += max(0, b - max(a, done))
+                    done = max(done, b)
                 out.append((i, host, "\n".join(lines), len(tok), covered))
         c = list(zip(*out)) or [()] * 5
         return pa.table({"page_id": pa.array(c[0], pa.int64()), "host": pa.array(c[1], pa.string()), "text": pa.array(c[2], pa.string()), "n_tokens": pa.array(c[3], pa.int64()), "n_boilerplate": pa.array(c[4], pa.int64())})

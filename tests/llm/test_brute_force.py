@@ -314,6 +314,36 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_short_blocks(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    phrase = "at the end of the day"  # six words that articles share inside their own sentences
+    rows, own = [], {}
+    for i in range(24):
+        h, n = i % 8, 4 + i % 8  # host h has a menu, an ad and a footer of 4 to 11 tokens on three pages
+        menu, foot = [f"m{h}{k}" for k in range(n)], " ".join(f"f{h}{k}" for k in range(n))
+        body = [f"{say(9)} {phrase} {say(3 + i % 5)}", say(2), say(30)]
+        own[i] = " ".join(body).split()
+        rows.append((i, f"http://h{h}.org/{i}", f"<nav><ul>{''.join(f'<li>{x}</li>' for x in menu)}</ul></nav>" + "".join(f"<p>{b}</p>" for b in body) + f"<footer>{foot}\n<b>end</b></footer>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.extract(df).collect()}
+    for i, tok in own.items():
+        assert got[i]["text"].split() == tok, i
+        assert got[i]["n_boilerplate"] == got[i]["n_tokens"] - len(tok)
+    odd = "<p>a &amp b&#0;\0c<!-- x --><a\nhref='<p>'>d\n e</a></p>&lt;f&gt;<td>g</td>h<script>i"
+    for page in [odd, *(r[2] for r in rows)]:
+        assert [t for b in html.blocks_of(page) for t in b] == html.tokens_of(page)
+    # the windows cover exactly the runs of whole blocks that two pages share
+    sizes = [[rng.randint(1, 4) for _ in range(rng.randint(0, 9))] for _ in range(60)]
+    for size in sizes:
+        ends = np.cumsum(size, dtype=np.int64)
+        cuts = [0, *ends.tolist()]
+        windows = {tuple(w) for w in html.block_windows(ends, 4, 100).tolist()} if size else set()
+        for a, b in itertools.combinations(cuts, 2):
+            inside = set().union(*(range(x, y) for x, y in windows if a <= x and y <= b))
+            assert inside == (set(range(a, b)) if b - a >= 4 else set())
+
+
 # ---------------------------------------------------------------- 8
 def test_quality(spark):
     rng = random.Random(7)
