@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from rowloom.llm.common import Words, pieces, with_row_key
+from rowloom.llm.common import Table, Words, pieces, with_row_key
 
 #: At most so many labelled documents of each side (preferred or not) are fitted on.
 TRAIN_DOCS = 4000
@@ -18,7 +18,11 @@ TRAIN_DOCS = 4000
 PAIRS_EACH = 6
 #: A word is a feature if so many documents of the sample hold it.
 MIN_DOCS = 10
-#: The share of preferred documents that may score under the threshold.
+#: One labelled document in so many is held out of the fit, to set the threshold by.
+HELD_OUT = 4
+#: The shares of preferred documents under the threshold that are tried.
+QUANTILES = [i / 1000 for i in range(201)]
+#: The share if no document that is not preferred is held out.
 QUANTILE = 0.002
 #: Beginnings of rare words are features if at most this share of documents hold them.
 RARE = 0.08
@@ -110,6 +114,9 @@ class Ranker:
     w: np.ndarray
     lexicon: dict[str, float] = field(default_factory=dict)
     threshold: float = -np.inf
+    #: Of the labelled documents held out: the preferred ones under the threshold, and the others under it.
+    lost: float | None = None
+    caught: float | None = None
 
     def __post_init__(self) -> None:
         self.number = {f: i for i, f in enumerate(self.lexicon)}
@@ -155,19 +162,43 @@ def _bradley_terry(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_words: i
     return w[:d], w[d:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Ranker | None:
+def set_threshold(model: Ranker, held: DataFrame, quantile: float | None = None) -> None:
+    """The threshold from (score, ok) of documents that the model was not fitted on.
+
+    Of the quantiles of the preferred documents' scores, that with the least sum of the share of preferred
+    documents lost and the share of others missed; the smallest of equals.  A given ``quantile`` is taken as it is.
+    """
+    tried = QUANTILES if quantile is None else [quantile]
+    if quantile is None and held.where("not ok").isEmpty():
+        tried = [QUANTILE]
+    cuts = held.where("ok").agg(F.percentile("score", F.array(*map(F.lit, tried)))).first()[0]
+    if cuts is None:
+        return
+    # a document counts under the cuts above its score
+    over = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("score")))
+    counts = np.zeros((2, len(cuts) + 1))
+    for row in held.groupBy("ok", over.alias("n")).count().collect():
+        counts[int(row["ok"]), row["n"]] += row["count"]
+    missed, kept = (np.cumsum(c[::-1])[::-1][1:] / max(c.sum(), 1) for c in counts)
+    best = int(np.argmin(1 - kept + missed))
+    model.threshold, model.lost = float(cuts[best]), float(1 - kept[best])
+    model.caught = float(1 - missed[best]) if counts[0].sum() else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, quantile: float | None = None, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Ranker | None:
     """Learn scores from preferences: a document labelled good and not toxic is preferred to one that is neither.
 
     ``train_docs`` labelled documents of each side, those with the smallest hash of their id, are fitted on (the
-    only sample that is taken; its size does not grow).  The threshold is the ``quantile`` of the scores of *all*
-    preferred labelled documents.  A document with contradicting labels counts as not preferred.  Labels with NULLs
+    only sample that is taken; its size does not grow).  One labelled document in ``HELD_OUT`` is never fitted on;
+    all of these set the threshold (see ``set_threshold``).  A document with contradicting labels counts as not preferred.  Labels with NULLs
     in id or quality are left out; a NULL toxic counts as 0.  Returns None if either side is missing, when there
     is nothing to rank by.
     """
     lab = labels.select(F.col(f"`{id_col}`").alias("__i"), F.expr("quality = 1 and coalesce(toxic, 0) = 0").alias("ok")).where("__i is not null and ok is not null").groupBy("__i").agg(F.min("ok").alias("ok"))
+    held_out = F.pmod(F.xxhash64("__i", F.lit("held out")), F.lit(HELD_OUT)) == 0
     both = with_row_key(docs, [id_col, text_col]).where("k1 is not null").join(lab, F.col("k0") == F.col("__i")).select("k0", "k1", "ok")
     # the smallest hashes of each side: take() of a sorted column is a bounded heap a task
-    picked = [lab.join(docs.select(F.col(f"`{id_col}`").alias("__i")), "__i", "left_semi").where(F.col("ok") == ok).select("__i").orderBy(F.xxhash64("__i"), "__i").limit(train_docs) for ok in (True, False)]
+    picked = [lab.join(docs.select(F.col(f"`{id_col}`").alias("__i")), "__i", "left_semi").where((F.col("ok") == ok) & ~held_out).select("__i").orderBy(F.xxhash64("__i"), "__i").limit(train_docs) for ok in (True, False)]
     sample = both.join(F.broadcast(picked[0].union(picked[1])), F.col("k0") == F.col("__i"), "left_semi").dropDuplicates(["k0"])
     rows = sorted(sample.toLocalIterator(), key=lambda r: r["k0"])
     ok = np.array([r["ok"] for r in rows], bool)
@@ -199,8 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_do
     w, lw = _bradley_terry(x, doc, col, len(lexicon), np.flatnonzero(ok), np.flatnonzero(~ok), np.random.default_rng(seed))
     model = Ranker(w, {k: float(lw[i]) for k, i in lexicon.items() })
     # every document is scored where it lies; only ids and scores meet the labels
-    scored = score(docs.where(F.col(f"`{text_col}`").isNotNull()), model, id_col, text_col).join(lab.where("ok").select("__i"), F.col("doc_id") == F.col("__i"), "left_semi")
-    model.threshold = float(scored.agg(F.percentile("score", quantile)).first()[0])
+    scored = score(docs.where(F.col(f"`{text_col}`").isNotNull()), model, id_col, text_col).join(lab.where(held_out), F.col("doc_id") == F.col("__i")).select("score", "ok")
+    held = Table(scored)
+    set_threshold(model, held.df, quantile)
+    held.drop()
     return model
 
 

@@ -364,6 +364,25 @@ def test_quality(spark):
     assert quality.fit(df.limit(0), labels) is None
 
 
+def test_quality_threshold_is_set_on_held_out_documents(spark):
+    rng = random.Random(10)
+    rows = [(rng.gauss(1, 1), True) for _ in range(400)] + [(rng.gauss(-1, 1), False) for _ in range(300)] + [(0.25, True), (0.25, False)]
+    model = quality.Ranker(np.zeros(1))
+    quality.set_threshold(model, spark.createDataFrame(rows, "score double, ok boolean"))
+    good, bad = (np.array([s for s, o in rows if o == ok]) for ok in (True, False))
+    loss = lambda t: (good < t).mean() + (bad >= t).mean()
+    cuts = np.quantile(good, quality.QUANTILES)
+    assert model.threshold == pytest.approx(cuts[np.argmin([loss(t) for t in cuts])])
+    assert model.lost == pytest.approx((good < model.threshold).mean()) and model.caught == pytest.approx((bad < model.threshold).mean())
+    assert model.caught > (bad < np.quantile(good, 0.002)).mean() + 0.3  # what the lowest good scores let through
+    # no document that sets the threshold was fitted on
+    text = lambda i: "kind river garden" if i % 2 else f"foul mud {'x' * (i % 7)}"
+    docs = docs_of(spark, [(i, text(i), "a") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    fitted = quality.fit(docs, labels)
+    assert fitted.caught == 1.0 and fitted.lost == 0.0
+
+
 # ---------------------------------------------------------------- 9
 def test_exact(spark, corpus):
     df = docs_of(spark, [*corpus, (None, "x", "a"), (90, None, "b")])
