@@ -74,9 +74,18 @@ class Table:
             pass
 
 
-def shards(spark: SparkSession) -> int:
-    """A power of two of at least the session's shuffle partitions."""
-    return 1 << max(2, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+#: Bytes that one shard of an exchange holds, about.
+SHARD_BYTES = 16 << 20
+
+
+def shards_for(size: float, each: int = SHARD_BYTES) -> int:
+    """A power of two: so many shards that each gets about ``each`` of ``size`` bytes; 8 at least, 2**20 at most."""
+    return 1 << min(20, max(3, math.ceil(math.log2(max(size, 1) / each))))
+
+
+def text_bytes(df: DataFrame, col: str) -> int:
+    """The bytes of a text column, from one scan of it."""
+    return df.agg(F.sum(F.octet_length(col))).first()[0] or 0
 
 
 # ---------------------------------------------------------------- word streams
@@ -141,18 +150,6 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum over every window of w items, in log(w) vector steps."""
-    n = len(x) - w + 1
-    if n <= 0:
-        return x[:0]
-    span, cur = 1, x
-    while span * 2 <= w:
-        cur = np.minimum(cur[: len(cur) - span], cur[span:])
-        span *= 2
-    return np.minimum(cur[:n], cur[w - span : w - span + n])
-
-
 def starts_within(off: np.ndarray, size: int) -> np.ndarray:
     """Mask over positions: a window of ``size`` items that starts there stays inside its document."""
     ok = np.zeros(int(off[-1]), bool)
@@ -164,23 +161,24 @@ def starts_within(off: np.ndarray, size: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- packed exchange of keys
 def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct 48-bit keys with counts up to 255, as byte planes of deltas."""
+    """Sorted distinct 48-bit keys with their counts, as byte planes of deltas."""
     d = np.diff(keys, prepend=np.uint64(0))
     width = 4 if not len(d) or int(d[1:].max(initial=0)) < 1 << 32 else 8
     first = int(keys[0]) if len(keys) else 0
     if len(d):
         d[0] = 0
     planes = np.ascontiguousarray(d.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes()
-    return len(keys).to_bytes(8, "little") + first.to_bytes(8, "little") + bytes([width]) + planes + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    kind = np.uint8 if int(counts.max(initial=0)) < 256 else np.dtype("<u4")
+    return len(keys).to_bytes(8, "little") + first.to_bytes(8, "little") + bytes([width | np.dtype(kind).itemsize << 4]) + planes + counts.astype(kind).tobytes()
 
 
 def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, first, width = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little"), blob[16]
+    n, first, width, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little"), blob[16] & 15, blob[16] >> 4
     planes = np.frombuffer(blob, np.uint8, n * width, 17).reshape(width, n)
     d = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64)
     if n:
         d[0] = first
-    return np.cumsum(d, dtype=np.uint64), np.frombuffer(blob, np.uint8, n, 17 + n * width)
+    return np.cumsum(d, dtype=np.uint64), np.frombuffer(blob, f"<u{size}", n, 17 + n * width)
 
 
 def to_shards(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, bytes]]:
@@ -195,23 +193,32 @@ def to_shards(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, bytes]]:
 
 
 class Frequent:
-    """Which keys at least ``levels[i]`` documents hold: one bitmap a level over the keys' leading bits.
+    """Which keys at least ``levels[i]`` documents hold.
 
-    The maps hold eight bits for each key of the lowest level, at most ``2**max_bits``; keys that share a
-    bit are taken for frequent.  That only costs work, as every answer is verified later: it never drops
-    a pair or a window.
+    The first levels are bitmaps over the keys' leading bits.  They hold eight bits for each key of the lowest level,
+    at most ``2**max_bits``; keys that share a bit are taken for frequent.  That only costs work, as every answer is
+    verified later: it never drops a pair or a window.  Further levels are the sorted keys themselves.
     """
 
-    def __init__(self, bits: int, maps: list[np.ndarray]):
-        self.bits, self.maps = bits, maps
+    def __init__(self, bits: int, maps: list[np.ndarray], lists: list[np.ndarray]):
+        self.bits, self.maps, self.lists = bits, maps, lists
 
     def has(self, level: int, keys: np.ndarray) -> np.ndarray:
+        if level >= len(self.maps):
+            known = self.lists[level - len(self.maps)]
+            if not len(known):
+                return np.zeros(len(keys), bool)
+            return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
         at = keys >> np.uint64(KEY_BITS - self.bits)
         return (self.maps[level][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def frequent(keyed: DataFrame, levels: list[int], n_shards: int, max_bits: int = 30) -> Frequent:
-    """Count the keys of rows (shard int, payload binary) over the whole input and map the frequent ones."""
+def frequent(keyed: DataFrame, levels: list[int], n_shards: int, max_bits: int = 30, rare: tuple[int, ...] = ()) -> Frequent:
+    """Count the keys of rows (shard int, payload binary) over the whole input and map the frequent ones.
+
+    ``levels`` become bitmaps, the levels ``rare`` above them lists: so few keys are held so often that all of them fit.
+    """
+    n_maps, levels = len(levels), [*levels, *rare]
 
     def count(table: pa.Table) -> pa.Table:
         got = [unpack_keys(x) for x in table.column("payload").to_pylist()]
@@ -238,23 +245,26 @@ def frequent(keyed: DataFrame, levels: list[int], n_shards: int, max_bits: int =
                 keys, rank = unpack_keys(blob)
                 at = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64) - shard * share
                 maps = []
-                for i in range(len(levels)):
+                for i in range(n_maps):
                     m = np.zeros(share, np.uint8)
                     m[at[rank > i]] = 1
                     maps.append(zlib.compress(np.packbits(m, bitorder="little").tobytes(), 1))
-                yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "maps": pa.array([maps], pa.list_(pa.binary()))})
+                lists = [keys[rank > i].tobytes() for i in range(n_maps, len(levels))]
+                yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "maps": pa.array([maps], pa.list_(pa.binary())), "lists": pa.array([lists], pa.list_(pa.binary()))})
 
-    maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in levels]
-    for row in kept.df.mapInArrow(to_maps, "shard int, maps array<binary>").toLocalIterator():
+    maps, lists = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(n_maps)], [[np.empty(0, np.uint64)] for _ in rare]
+    for row in kept.df.mapInArrow(to_maps, "shard int, maps array<binary>, lists array<binary>").toLocalIterator():
         for m, blob in zip(maps, row["maps"]):
             part = np.frombuffer(zlib.decompress(blob), np.uint8)
             m[row["shard"] * len(part) : (row["shard"] + 1) * len(part)] = part
+        for x, blob in zip(lists, row["lists"]):
+            x.append(np.frombuffer(blob, np.uint64))
     kept.drop()
-    return Frequent(bits, maps)
+    return Frequent(bits, maps, [np.sort(np.concatenate(x)) for x in lists])
 
 
 # ---------------------------------------------------------------- connected components
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> Table:
     """(a, b) edges to (id, root): the smallest id of each connected component, for every id that has an edge.
 
     Alternates large-star and small-star steps (each one grouping shuffle, no edge ever held on the
@@ -284,7 +294,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = seen
     stars = now.df
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out = Table(stars.select(F.col("a").alias("id"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()))
+    now.drop()
+    return out
 
 
 def with_row_key(df: DataFrame, cols: list[str]) -> DataFrame:

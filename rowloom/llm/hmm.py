@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rowloom.llm.common import Table, Words, mix, pieces, shards, with_row_key
+from rowloom.llm.common import Table, Words, mix, pieces, shards_for, text_bytes, with_row_key
 
 STATES, ROUNDS = 4, 4
 #: ``train`` alone folds words to 2 ** BITS symbols, for a model that fits in memory.
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train(encoded: DataFrame, states: int = STATES, rounds: int = ROUNDS, bits: int = BITS) -> Model:
     """Baum-Welch on every word of every document; each round is one pass and one shuffle of expected counts."""
     spark = encoded.sparkSession
-    v, n_shards = 1 << bits, min(shards(spark), 1 << bits)
+    v, n_shards = 1 << bits, min(shards_for(text_bytes(encoded, "codes")), 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(v)
@@ -416,7 +416,7 @@ def _gathered(emits: Table, n_shards: int, states: int) -> tuple[np.ndarray, int
 def train_words(parts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Corpus:
     """Baum-Welch on every word of every document, each distinct word a symbol."""
     spark = parts.sparkSession
-    n_shards = shards(spark)
+    n_shards = shards_for((1 + states / 2) * text_bytes(parts, "keys"))  # a key and its counts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

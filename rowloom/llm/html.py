@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import mix, pieces, shards, with_row_key
+from rowloom.llm.common import mix, pieces, shards_for, text_bytes, with_row_key
 from rowloom.llm.pfp import repeated_spans
 
 MIN_TOKENS = 12
@@ -97,10 +97,8 @@ def _stream(part: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarr
     return pages, digest, off, flat
 
 
-def shared_blocks(src: DataFrame, least: int, most: int) -> DataFrame:
+def shared_blocks(src: DataFrame, least: int, most: int, n_shards: int) -> DataFrame:
     """(id, start, length) of the windows of whole blocks that distinct pages of a host share."""
-    n_shards = shards(src.sparkSession)
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "k2"):
@@ -163,8 +161,8 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
         return part.column("k0").cast(pa.int64()).to_numpy(zero_copy_only=False), digest, off, h
 
     known = rows.where("k0 is not null and k2 is not null")
-    spans = repeated_spans(known, "k2", tokens, min_tokens, w, p).union(shared_blocks(known, min_block, min_tokens))
-    n_shards = shards(spark)
+    n_shards = shards_for(text_bytes(known, "k2"))
+    spans = repeated_spans(known, "k2", tokens, min_tokens, w, p, n_shards).union(shared_blocks(known, min_block, min_tokens, n_shards))
     # Both sides come to a page's bucket in packed form: one compressed row for each bucket of a batch.
     bucket = F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import KEY_BITS, Words, frequent, mix, pieces, rolling, shards, starts_within, to_shards, with_row_key
+from rowloom.llm.common import KEY_BITS, Words, frequent, mix, pieces, rolling, shards_for, starts_within, text_bytes, to_shards, with_row_key
 
 MIN_WORDS = 50
 TRIGGER_WORDS, TRIGGER_MODULUS = 4, 6
@@ -231,12 +231,11 @@ def join_spans(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return ids[at], a[at], (top - shift)[np.append(at[1:], len(ids)) - 1]
 
 
-def repeated_spans(src: DataFrame, text: str, tokens: Tokens, m: int, w: int, p: int) -> DataFrame:
+def repeated_spans(src: DataFrame, text: str, tokens: Tokens, m: int, w: int, p: int, n_shards: int) -> DataFrame:
     """(id, start, length) of the maximal spans whose every ``m`` tokens occur in another document of ``src``."""
     spark = src.sparkSession
     if m < w + 1:
         raise ValueError("a passage must be longer than a trigger")
-    n_shards = shards(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,5 +307,5 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, w: int = TRIG
         return ids, ids, words.off, words.hashes()
 
     src = with_row_key(docs, [id_col, text_col]).where("k0 is not null and k1 is not null")
-    found = repeated_spans(src, "k1", tokens, min_words, w, p)
+    found = repeated_spans(src, "k1", tokens, min_words, w, p, shards_for(text_bytes(src, "k1")))
     return found.select(F.col("id").alias("doc_id"), "start", "length")

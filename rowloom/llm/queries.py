@@ -29,7 +29,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_pairs(_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,4 +19,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
     """,
+    # n-grams, pairs by shared n-gram, and the classes by the closure of the pairs
+    "op4_jaccard_join": """
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+        u AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)),
+        e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+        c AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)
+        SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM c WHERE x = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM e WHERE x = doc_id) AS n_links FROM documents
+    """,
 }

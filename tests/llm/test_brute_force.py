@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plain import plain_pairs
-from rowloom.llm.common import Table
+from rowloom.llm.common import Table, frequent, to_shards
 from rowloom.llm import exact, hmm, html, jaccard, mixing, packing, pfp, pii, quality, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, shard string, score string, k0 string"
@@ -221,19 +221,62 @@ def test_mixing(spark, corpus):
 
 
 # ---------------------------------------------------------------- 4
-@pytest.mark.parametrize(("t", "hot"), [(0.5, 64), (0.5, 3), (0.3, 3), (0.8, 2), (1.0, 3)])
-def test_jaccard(spark, corpus, t, hot):
-    got = {(r["doc_a"], r["doc_b"], r["common"], r["total"]) for r in jaccard.jaccard_pairs(docs_of(spark, corpus), t=t, hot=hot, tile=4).collect()}
-    assert got == plain_pairs([(i, x) for i, x, _ in corpus], 3, t)
+def plain_classes(rows, n, t):
+    """(id, class, links) of each row by all pairs of rows."""
+    rows = [(i, x) for i, x in rows if i is not None]
+    pairs = plain_pairs([(k, x) for k, (_, x) in enumerate(rows)], n, t)
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(k):
+        return k if parent[k] == k else find(parent[k])
+
+    for a, b, _, _ in pairs:
+        links[a] += 1
+        links[b] += 1
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return sorted((i, least[find(k)], links[k]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("t", "hot", "nodes"), [(0.5, 64, 1 << 15), (0.5, 3, 2), (0.3, 3, 1 << 15), (0.8, 2, 3), (1.0, 3, 1 << 15)])
+def test_jaccard(spark, corpus, monkeypatch, t, hot, nodes):
+    monkeypatch.setattr(jaccard, "HOT_NODES", nodes)
+    df = docs_of(spark, corpus)
+    texts = [(i, x) for i, x, _ in corpus]
+    assert sorted(map(tuple, jaccard.jaccard_classes(df, t=t, hot=hot, tile=4).collect())) == plain_classes(texts, 3, t)
+    # pairs between the smallest ids of equal sets, which are all pairs once copies are put back
+    first, copies = {}, {}
+    for i, x in texts:
+        w = (x or "").lower().split()
+        key = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) or tuple(w) or i
+        copies.setdefault(first.setdefault(key, i), []).append(i)
+    got = {(r["doc_a"], r["doc_b"], r["common"], r["total"]) for r in jaccard.jaccard_pairs(df, t=t, hot=hot, tile=4).collect()}
+    assert got == {p for p in plain_pairs(texts, 3, t) if p[0] in copies and p[1] in copies}
 
 
 def test_jaccard_edges(spark, corpus):
-    df = docs_of(spark, [*corpus, (None, "x", "a"), (85, "x", "a")])
+    rows = [*corpus, (None, "x", "a"), (85, "x", "a"), (85, corpus[0][1], "a")]
+    df = docs_of(spark, rows).withColumns({c: F.lit(7) for c in ("rep", "node", "text_", "class_id", "__gone", "a.b", "k2")})
     kept = jaccard.drop_near_duplicates(df)
-    assert kept.columns == df.columns
+    assert kept.schema == df.schema
     ids = [r["doc_id"] for r in kept.collect()]
-    assert {82, 83, 84, 85, 72} <= set(ids) and not {73, 80, 81, 86} & set(ids) and None in ids
-    assert jaccard.jaccard_pairs(df.limit(0)).count() == 0
+    assert {82, 83, 84, 85, 72} <= set(ids) and not {73, 80, 81, 86} & set(ids) and None in ids and ids.count(85) == 2
+    assert sorted(map(tuple, jaccard.jaccard_classes(df).collect())) == plain_classes([(i, x) for i, x, _ in rows], 3, 0.5)
+    empty = df.limit(0)
+    assert jaccard.jaccard_pairs(empty).count() == 0 and jaccard.jaccard_classes(empty).count() == 0 and jaccard.drop_near_duplicates(empty).count() == 0
+    with pytest.raises(ValueError):
+        jaccard.jaccard_classes(df, t=0.1)
+
+
+def test_frequent_counts_beyond_a_byte(spark):
+    keys = np.repeat(np.arange(5, dtype=np.uint64) << np.uint64(44), [1, 2, 300, 70_000, 0])
+    rows = [(s, bytearray(p)) for s, p in to_shards(keys, 8)]
+    got = frequent(spark.createDataFrame(rows, "shard int, payload binary"), [2], 8, rare=(300, 70_000))
+    at = np.arange(5, dtype=np.uint64) << np.uint64(44)
+    assert [got.has(i, at).tolist() for i in range(3)] == [[False, True, True, True, False], [False, False, True, True, False], [False, False, False, True, False]]
 
 
 # ---------------------------------------------------------------- 5
