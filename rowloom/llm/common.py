@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time.
@@ -88,6 +88,11 @@ def text_bytes(df: DataFrame, col: str) -> int:
     return df.agg(F.sum(F.octet_length(col))).first()[0] or 0
 
 
+def n_words(text: str) -> Column:
+    """How many words ``Words`` finds in a column: the same white space, Unicode's and the four separators of ASCII."""
+    return F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit(r"(?U)[^\s\x1c-\x1f]+"))).cast("long")
+
+
 # ---------------------------------------------------------------- word streams
 def pieces(batch: pa.RecordBatch, col: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of ``col``; a longer text is a slice of its own."""
@@ -102,13 +107,19 @@ def pieces(batch: pa.RecordBatch, col: str, most: int = PIECE_BYTES) -> Iterator
 
 
 class Words:
-    """The whitespace-separated words of a column: ``codes`` into ``vocab``; document d holds ``off[d]:off[d+1]``."""
+    """The whitespace-separated words of a column: ``codes`` into ``vocab``; document d holds ``off[d]:off[d+1]``.
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    With ``sep`` only spaces and line ends separate: for texts that were split before.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, sep: bool = False):
         texts = pc.fill_null(texts, "")
         if lower:
             texts = pc.utf8_lower(texts)
-        split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+        if sep:
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
         off = split.offsets.to_numpy().astype(np.int64)
         flat = split.flatten()
         empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm.common import n_words, with_row_key
+
 CAPACITY = 2048
 #: Documents that are packed together; more of them waste no less.
 SHARD_DOCS = 50_000
@@ -78,8 +80,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    text = F.trim(F.regexp_replace(F.col(f"`{text_col}`"), r"\s+", " "))
-    sized = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("h"), F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")).where("n > 0")
+    sized = with_row_key(docs, [id_col, text_col]).select(F.col("k0").cast("long").alias("id"), F.xxhash64("k0", "k1").alias("h"), n_words("k1").alias("n")).where("n > 0")
     n_shards = max(1, math.ceil(docs.count() / shard_docs))
 
     def fill(table: pa.Table) -> pa.Table:
@@ -107,5 +108,3 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
 
     sharded = sized.select(F.pmod("h", F.lit(n_shards)).cast("int").alias("shard"), "id", "n")
     return sharded.groupBy("shard").applyInArrow(fill, "shard int, bin long, used long, capacity long, doc_ids array<long>, starts array<long>, lengths array<long>")
-
-
