@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Table
+from rowloom.llm.common import Table, n_words
 
 TEMPERATURE = 0.7
-#: Newton needs a dense system of one row a constraint on the driver.
-MOST_CONSTRAINTS = 4000
-
-
-def _words(text: F.Column) -> F.Column:
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(flat.isNull() | (flat == ""), 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+#: Sources times languages, at most: the driver keeps a few numbers for each, and they are broadcast.
+MOST_CELLS = 1 << 20
+#: A multiplier beyond this means that constraints exclude each other.
+DIVERGED = 25.0
 
 
 def temperature_weights(tokens: dict[str, int], temperature: float) -> dict[str, float]:
@@ -25,157 +26,226 @@ def temperature_weights(tokens: dict[str, int], temperature: float) -> dict[str,
     return {k: v / total for k, v in raised.items()}
 
 
-def solve(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    temperature: float = TEMPERATURE,
-    total: float | None = None,
-    floor: float = 0.0,
-    tol: float = 1e-7,
-    max_iter: int = 60,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    lang_col: str = "lang",
-):
-    """The tilt: a function that adds ``n_tokens``, ``rate`` and ``copies`` to the documents (see ``balance``)."""
-    spark = docs.sparkSession
-    has_lang = lang_col in docs.columns
-    narrow_table = Table(
-        docs.select(
-            F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
-            (F.coalesce(F.col(f"`{lang_col}`"), F.lit("")) if has_lang else F.lit("")).alias("lang"),
-            _words(F.col(f"`{text_col}`")).alias("n_tokens"),
-        )
-    )
-    narrow = narrow_table.df
-    log_n = F.log(F.greatest("n_tokens", F.lit(1)))
-    cells = narrow.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * log_n).alias("l"), F.count("*").alias("rows")).limit(MOST_CONSTRAINTS**2).collect()
-    n_all = float(sum(c["n"] or 0 for c in cells))
-    names, langs = sorted({c["source"] for c in cells}), sorted({c["lang"] for c in cells})
-    if len(names) + len(langs) + 1 > MOST_CONSTRAINTS:
-        raise ValueError(f"{len(names)} sources and {len(langs)} languages; at most {MOST_CONSTRAINTS} constraints")
-    if not n_all:
-        return lambda df: _rated(df, None, 0.0, 0.0, floor, id_col, text_col, source_col, lang_col)
-    by_source = {s: sum(c["n"] for c in cells if c["source"] == s) for s in names}
-    by_lang = {s: sum(c["n"] for c in cells if c["lang"] == s) for s in langs}
-    given = {k: v for k, v in (weights or temperature_weights(by_source, temperature)).items() if v > 0 and by_source.get(k)}
-    if not given:
-        raise ValueError("no source with tokens has a weight above 0")
-    share = {k: v / sum(given.values()) for k, v in given.items()}
-    if total is None:
-        total = max(by_source[s] * max(floor, 0) / share[s] for s in share) if floor else n_all
-        total = max(total, n_all if floor else 0.0)
-    ses = [s for s in names if s in share]
-    # Languages are constrained but for the last, which follows from the total.
-    lw = temperature_weights(by_lang, temperature)
-    lgs = [k for k in langs if k in lw][:-1] if has_lang and len(lw) > 1 else []
-    if floor:
-        lgs = []  # a floor and two margins may exclude each other
-    m = len(ses) + len(lgs) + 1
-    centre = sum(c["l"] for c in cells) / n_all
-    logs = {s: sum(c["l"] for c in cells if c["source"] == s) / by_source[s] - centre for s in ses}
-    target = np.array([total * share[s] for s in ses] + [total * lw[k] for k in lgs] + [total * sum(share[s] * logs[s] for s in ses)])
-    lam = np.array([np.log(max(total * share[s] / by_source[s], 1e-12)) for s in ses] + [0.0] * (len(lgs) + 1))
-    si, li = {s: i for i, s in enumerate(ses)}, {k: len(ses) + i for i, k in enumerate(lgs)}
-    small = np.log(floor) if floor > 0 else -np.inf
-
-    def passed(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Dual value, gradient and Hessian at lam: one distributed pass."""
-        base = [(c["source"], c["lang"], float(lam[si[c["source"]]] + (lam[li[c["lang"]]] if c["lang"] in li else 0.0))) for c in cells if c["source"] in si]
-        u = F.col("base") + F.lit(float(lam[-1])) * (log_n - F.lit(centre))
-        r = F.exp(u)
-        if floor > 0:
-            phi = F.when(u >= small, r).otherwise(F.lit(floor) * (1 + u - F.lit(small)))
-            rate, curve = F.greatest(r, F.lit(floor)), F.when(u >= small, r).otherwise(F.lit(0.0))
-        else:
-            phi = rate = curve = r
-        x = log_n - F.lit(centre)
-        rates = F.broadcast(spark.createDataFrame(base, "s string, g string, base double"))  # at most one row a cell
-        sums = narrow.where("n_tokens > 0").join(rates, (F.col("source") == F.col("s")) & (F.col("lang") == F.col("g"))).withColumns({"w": F.col("n_tokens") * rate, "h": F.col("n_tokens") * curve, "p": F.col("n_tokens") * phi, "x": x})
-        sums = sums.groupBy("source", "lang").agg(F.sum("p").alias("p"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("h").alias("h"), F.sum(F.col("h") * F.col("x")).alias("hx"), F.sum(F.col("h") * F.col("x") * F.col("x")).alias("hxx")).collect()
-        g, hess, value = np.zeros(m), np.zeros((m, m)), 0.0
-        for c in sums:
-            on = [si[c["source"]]] + ([li[c["lang"]]] if c["lang"] in li else [])
-            value += c["p"]
-            for i in on:
-                g[i] += c["w"]
-                hess[i, -1] += c["hx"]
-                hess[-1, i] += c["hx"]
-                for j in on:
-                    hess[i, j] += c["h"]
-            g[-1] += c["wx"]
-            hess[-1, -1] += c["hxx"]
-        return value - float(lam @ target), g - target, hess
-
-    value, grad, hess = passed(lam)
+@dataclass
+class Tilt:
+    """Log rates by (source, language) and the multiplier of log length around ``centre``; no ``base`` is rate 1."""
+
+    base: dict[tuple[str, str], float] | None
+    nu: float = 0.0
+    centre: float = 0.0
+    floor: float = 0.0
+    by_lang: bool = False
+
+
+@dataclass
+class _Cells:
+    """One entry a cell (source, language): its source, its language or -1 if that is not constrained, and sums."""
+
+    source: np.ndarray
+    lang: np.ndarray
+    n_sources: int
+    n_langs: int
+
+    def system(self, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Constraint sums, and the Hessian as its diagonal over sources, the rest, and what lies between."""
+        k, on = self.n_langs, self.lang >= 0
+        sums = np.concatenate((np.bincount(self.source, s["w"], self.n_sources), np.bincount(self.lang[on], s["w"][on], k), [s["wx"].sum()]))
+        diagonal = np.bincount(self.source, s["h"], self.n_sources)
+        between = np.zeros((self.n_sources, k + 1))
+        np.add.at(between, (self.source[on], self.lang[on]), s["h"][on])
+        between[:, k] = np.bincount(self.source, s["hx"], self.n_sources)
+        rest = np.diag(np.append(np.bincount(self.lang[on], s["h"][on], k), s["hxx"].sum()))
+        rest[:k, k] = rest[k, :k] = np.bincount(self.lang[on], s["hx"][on], k)
+        return sums, diagonal, between, rest
+
+
+def newton(cells: _Cells, evaluate: Callable[[np.ndarray, float], dict[str, np.ndarray]], target: np.ndarray, start: np.ndarray, tol: float, max_iter: int) -> tuple[np.ndarray, float]:
+    """Multipliers that minimise the dual, and the largest constraint residual as a share of the total.
+
+    ``evaluate(log rate of each cell, nu)`` gives the cells' sums.  The Hessian is diagonal over sources, so those are
+    eliminated and a system of one row a language is solved.
+    """
+    s_, k = cells.n_sources, cells.n_langs
+    total = float(target[:s_].sum())
+
+    def at(lam: np.ndarray) -> tuple[float, np.ndarray, tuple]:
+        base = lam[cells.source] + np.where(cells.lang >= 0, np.append(lam[s_ : s_ + k], 0.0)[cells.lang], 0.0)
+        got = evaluate(base, float(lam[-1]))
+        sums, *hessian = cells.system(got)
+        return float(got["p"].sum() - lam @ target), sums - target, tuple(hessian)
+
+    lam = start
+    value, grad, (diagonal, between, rest) = at(lam)
     for _ in range(max_iter):
-        if np.abs(grad).max() <= tol * total:
+        if np.abs(grad).max() <= tol * total or np.abs(lam).max() > DIVERGED:
             break
-        step = np.linalg.solve(hess + 1e-9 * total * np.eye(m), -grad)
-        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        scale = 1.0
+        ridge = 1e-9 * total
+        d = diagonal + ridge
+        small = rest + ridge * np.eye(k + 1) - between.T @ (between / d[:, None])
+        tail = np.linalg.lstsq(small, -grad[s_:] + between.T @ (grad[:s_] / d), rcond=None)[0]
+        step = np.concatenate(((-grad[:s_] - between @ tail) / d, tail))
+        step *= min(1.0, 4.0 / max(float(np.abs(step).max()), 1e-12))
+        scale, slope = 1.0, float(grad @ step)
         while True:
-            new = passed(lam + scale * step)
-            if new[0] <= value + 1e-4 * scale * float(grad @ step) + 1e-12 * abs(value) or scale < 1e-6:
+            new = at(lam + scale * step)
+            if new[0] <= value + 1e-4 * scale * slope + 1e-12 * abs(value):
                 break
             scale /= 2
+            if scale < 1e-6:  # no better point this way: this is as far as the arithmetic goes
+                return lam, float(np.abs(grad).max()) / total
         lam = lam + scale * step
-        value, grad, hess = new
-    if lgs and np.abs(grad).max() > 1e-4 * total:
-        # the margins exclude each other, as when a source has one language: the sources' shares go first
-        narrow_table.drop()
-        return solve(docs, weights, temperature, total, floor, tol, max_iter, id_col, text_col, source_col, "")
-    rates = {(c["source"], c["lang"]): float(lam[si[c["source"]]] + (lam[li[c["lang"]]] if c["lang"] in li else 0.0)) for c in cells if c["source"] in si}
+        value, grad, (diagonal, between, rest) = new
+    return lam, float(np.abs(grad).max()) / total
+
+
+def solve(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None, floor: float = 0.0, tol: float = 1e-7, max_iter: int = 60, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Tilt:
+    """The tilt that meets the constraints (see ``balance``)."""
+    spark = docs.sparkSession
+    has_lang = lang_col in docs.columns
+    # documents of one cell and length have one rate: they are one row, with their tokens in all
+    table = Table(_keyed(docs, text_col, source_col, lang_col if has_lang else None).groupBy("s", "g", "n").agg(F.sum("n").alias("t")))
+    log_n = F.log(F.greatest("n", F.lit(1)))
+    sums = Table(table.df.groupBy("s", "g").agg(F.sum("t").alias("n"), F.sum(F.col("t") * log_n).alias("l")))
+    if sums.df.count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs of source and language")
+    cells = sorted(sums.df.collect())
+    sums.drop()
+    try:
+        n_all = float(sum(c["n"] for c in cells))
+        if not n_all:
+            return Tilt(None)
+        by_source: dict[str, int] = {}
+        by_lang: dict[str, int] = {}
+        logs: dict[str, float] = {}
+        for c in cells:
+            by_source[c["s"]] = by_source.get(c["s"], 0) + c["n"]
+            by_lang[c["g"]] = by_lang.get(c["g"], 0) + c["n"]
+            logs[c["s"]] = logs.get(c["s"], 0.0) + c["l"]
+        given = {k: v for k, v in (weights or temperature_weights(by_source, temperature)).items() if v > 0 and by_source.get(k)}
+        if not given:
+            raise ValueError("no source with tokens has a weight above 0")
+        share = {k: v / sum(given.values()) for k, v in given.items()}
+        ses = sorted(share)
+        held = [c for c in cells if c["s"] in share and c["n"]]
+        lw = temperature_weights({k: v for k, v in by_lang.items() if any(c["g"] == k for c in held)}, temperature) if has_lang else {}
+        centre = sum(c["l"] for c in cells) / n_all
+        # Languages are constrained but for the last, which follows from the total.
+        for lgs in ([sorted(lw)[:-1]] if len(lw) > 1 else []) + [[]]:
+            whole = total
+            if whole is None:
+                whole = n_all if not floor else max(n_all, floor * max([by_source[s] / share[s] for s in ses] + [sum(c["n"] for c in held if c["g"] == g) / lw[g] for g in (lw if lgs else ())]))
+            si, li = {s: i for i, s in enumerate(ses)}, {g: i for i, g in enumerate(lgs)}
+            where = _Cells(np.array([si[c["s"]] for c in held]), np.array([li.get(c["g"], -1) for c in held]), len(ses), len(lgs))
+            shares = np.array([share[s] for s in ses])
+            mean = np.array([logs[s] / by_source[s] - centre for s in ses])
+            target = whole * np.concatenate((shares, [lw[g] for g in lgs], [shares @ mean]))
+            start = np.concatenate((np.log(np.maximum(whole * shares / np.array([by_source[s] for s in ses]), 1e-12)), np.zeros(len(lgs) + 1)))
+            lam, off = newton(where, _evaluator(spark, table.df, held, centre, floor), target, start, tol, max_iter)
+            if off <= 1e-4:
+                break
+        else:
+            raise RuntimeError(f"the constraints on sources are off by {off:.2g} of the total after {max_iter} steps")
+    finally:
+        table.drop()
+    base = {(c["s"], c["g"]): float(lam[si[c["s"]]] + (lam[len(ses) + li[c["g"]]] if c["g"] in li else 0.0)) for c in held}
     # a source without tokens bears on nothing: its texts stay as they are, unless the weights leave it out
-    rates |= {(c["source"], c["lang"]): 0.0 for c in cells if not by_source[c["source"]] and (weights is None or weights.get(c["source"], 0) > 0)}
-    narrow_table.drop()
-    return lambda df: _rated(df, rates, float(lam[-1]), centre, floor, id_col, text_col, source_col, lang_col)
+    for c in cells:
+        if c["s"] in share:
+            base.setdefault((c["s"], c["g"]), float(lam[si[c["s"]]]))
+        elif not by_source[c["s"]] and (weights is None or weights.get(c["s"], 0) > 0):
+            base[c["s"], c["g"]] = 0.0
+    return Tilt(base, float(lam[-1]), centre, floor, bool(lgs))
+
 
+def _keyed(docs: DataFrame, text_col: str, source_col: str, lang_col: str | None) -> DataFrame:
+    """The columns as c0, c1, ..., with s and g (source and language, NULLs as "") and n (words of the text)."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
-def _rated(df: DataFrame, rates: dict | None, nu: float, centre: float, floor: float, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    n = _words(F.col(f"`{text_col}`"))
-    df = df.withColumn("__n", n)
-    if rates is None:
-        df = df.withColumn("__rate", F.lit(1.0))
+    def name(c: str) -> str:
+        return f"c{docs.columns.index(c)}"
+
+    lang = F.coalesce(F.col(name(lang_col)).cast("string"), F.lit("")) if lang_col else F.lit("")
+    return plain.withColumns({"s": F.coalesce(F.col(name(source_col)).cast("string"), F.lit("")), "g": lang, "n": n_words(name(text_col))})
+
+
+def _evaluator(spark: SparkSession, narrow: DataFrame, cells: list, centre: float, floor: float) -> Callable[[np.ndarray, float], dict[str, np.ndarray]]:
+    """The sums over each cell at a tilt: one distributed pass, aggregated by cell before it leaves a task."""
+    x = F.log(F.greatest("n", F.lit(1))) - F.lit(centre)
+    names = pa.array([c["s"] for c in cells]), pa.array([c["g"] for c in cells])
+    small = float(np.log(floor)) if floor > 0 else -np.inf
+
+    def evaluate(base: np.ndarray, nu: float) -> dict[str, np.ndarray]:
+        rates = spark.createDataFrame(pa.table([pa.array(range(len(base)), pa.int32()), *names, pa.array(base)], ["cell", "s", "g", "base"]))
+        u = F.col("base") + F.lit(nu) * x
+        r = F.exp(u)
+        phi = rate = curve = r
+        if floor > 0:
+            phi = F.when(u >= small, r).otherwise(F.lit(floor) * (1 + u - F.lit(small)))
+            rate, curve = F.greatest(r, F.lit(floor)), F.when(u >= small, r).otherwise(F.lit(0.0))
+        parts = {"p": F.col("t") * phi, "w": F.col("t") * rate, "h": F.col("t") * curve, "x": x}
+        rows = narrow.where("n > 0").join(F.broadcast(rates), ["s", "g"]).withColumns(parts)
+        sums = {"p": "p", "w": "w", "wx": "w * x", "h": "h", "hx": "h * x", "hxx": "h * x * x"}
+        out = {k: np.zeros(len(base)) for k in sums}
+        for row in rows.groupBy("cell").agg(*[F.sum(F.expr(e)).alias(k) for k, e in sums.items()]).collect():
+            for k in sums:
+                out[k][row["cell"]] = row[k]
+        return out
+
+    return evaluate
+
+
+def _rated(docs: DataFrame, tilt: Tilt, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """``_keyed`` with ``rate`` and ``copies``."""
+    df = _keyed(docs, text_col, source_col, lang_col if lang_col in docs.columns else None)
+    if tilt.base is None:
+        df = df.withColumn("rate", F.lit(1.0))
     else:
-        table = F.broadcast(df.sparkSession.createDataFrame([(s, g, b) for (s, g), b in rates.items()], "__s string, __g string, __b double"))
-        lang = F.coalesce(F.col(f"`{lang_col}`"), F.lit("")) if lang_col in df.columns else F.lit("")
-        u = F.col("__b") + F.when(F.col("__n") > 0, F.lit(nu) * (F.log(F.greatest("__n", F.lit(1))) - F.lit(centre))).otherwise(0.0)
-        df = df.join(table, (F.coalesce(F.col(f"`{source_col}`"), F.lit("")) == F.col("__s")) & (lang == F.col("__g")), "left")
-        df = df.withColumn("__rate", F.when(F.col("__b").isNull(), F.lit(0.0)).otherwise(F.greatest(F.exp(u), F.lit(float(floor))))).drop("__s", "__g", "__b")
-    whole = F.floor("__rate")
-    dice = F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return df.withColumn("__copies", (whole + F.when(dice < F.col("__rate") - whole, 1).otherwise(0)).cast("long"))
+        rows = [(s, g, b) for (s, g), b in tilt.base.items()]
+        table = df.sparkSession.createDataFrame(pa.table(dict(zip(("s", "g", "b"), map(pa.array, zip(*rows))))))
+        u = F.col("b") + F.when(F.col("n") > 0, F.lit(tilt.nu) * (F.log(F.greatest("n", F.lit(1))) - F.lit(tilt.centre))).otherwise(0.0)
+        rate = F.when(F.col("b").isNull(), F.lit(0.0)).otherwise(F.greatest(F.exp(u), F.lit(float(tilt.floor))))
+        df = df.join(F.broadcast(table), ["s", "g"], "left").withColumn("rate", rate)
+    whole = F.floor("rate")
+    dice = F.pmod(F.xxhash64(f"c{docs.columns.index(id_col)}"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return df.withColumn("copies", (whole + F.when(dice < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
 
 
-def balance(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
+def balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **params) -> DataFrame:
     """Rates r of the documents that are nearest to 1 in token-weighted entropy and meet token constraints.
 
     Minimises ``sum n (r log r - r + 1)`` over ``r >= floor`` such that every source has its share ``weights``
-    of the ``total`` tokens, every language keeps its share at ``temperature`` (skipped without ``lang_col``, or
-    if the sources' shares rule it out), and the token-weighted mean of log length is that of the sources as they
-    are, in their new shares.  The convex dual has one multiplier a
-    constraint, and ``r = max(floor, exp(lambda . z))``.  Each Newton step is one pass of the narrow table
-    (source, lang, length): gradient and Hessian are sums over documents, aggregated by Spark by
-    (source, lang); the driver only solves the system of constraints.
+    of the ``total`` tokens, every language its share at ``temperature``, and the token-weighted mean of log length is
+    that of the sources as they are, in their new shares.  Languages are left free without ``lang_col``, and where the
+    sources' shares exclude theirs (Newton finds no solution), as when a source has one language.  A RuntimeError says
+    that the sources' own constraints were not met to 1e-4 of the total.
+
+    The convex dual has one multiplier a constraint, and ``r = max(floor, exp(lambda . z))``.  Each Newton step is one
+    pass of the narrow table (source, language, length, tokens), one row for all documents that share the first three:
+    gradient and Hessian are sums over it, aggregated by Spark by source and language; the driver solves a system of one row a language.  Sources times languages are at
+    most ``MOST_CELLS``, else a ValueError.
 
     ``copies`` rounds r without bias: ``floor(r)`` plus one where a hash of the id lies under the fraction,
-    so no shuffle or order is needed and a rerun gives the same.  ``weights`` default to
-    ``temperature_weights`` of the input; they are scaled to 1, sources that they leave out get no copies.
-    ``total`` defaults to the input's tokens; with ``floor`` 1 to the least total in which no source loses
-    tokens, so that no document is dropped.
+    so no shuffle or order is needed and a rerun gives the same.  Each document is rounded by itself, so a source's
+    tokens miss their target by about the root of the sum of ``n ** 2 / 4``: little for many documents, and up to the
+    size of one for few.  ``weights`` default to ``temperature_weights`` of the input; they are scaled to 1, sources
+    that they leave out get no copies.  ``total`` defaults to the input's tokens; with a ``floor`` to the least total in
+    which no source and no constrained language falls below the floor, so that with 1 no document is dropped.
 
     Returns (doc_id, source, n_tokens, rate, copies) for every row.  NULL sources and languages are
     groups of their own (named "" in ``weights``).  NULL or blank texts have 0 tokens and bear on no
-    constraint; they get their group's rate, 1 in a source without tokens.  NULL ids are rounded by the hash of NULL.  Repeated rows count
-    each.  Other columns are ignored.  An empty table, or one without tokens, gives rate 1.
+    constraint; they get their group's rate, 1 in a source without tokens.  NULL ids are rounded by the hash of NULL.
+    Repeated rows count each, and are rounded alike.  Other columns are ignored, whatever their names.  An empty table,
+    or one without tokens, gives rate 1.
     """
-    rated = solve(docs, id_col=id_col, source_col=source_col, **params)(docs)
-    return rated.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col("__n").alias("n_tokens"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    tilt = solve(docs, text_col=text_col, source_col=source_col, lang_col=lang_col, **params)
+    rated = _rated(docs, tilt, id_col, text_col, source_col, lang_col)
+    i, s = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, source_col))
+    return rated.select(i.alias("doc_id"), s.alias("source"), F.col("n").alias("n_tokens"), "rate", "copies")
 
 
-def repeat_documents(docs: DataFrame, **params) -> DataFrame:
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **params) -> DataFrame:
     """The documents, each as often as ``balance`` gives copies; all columns as they were, nothing is shuffled."""
-    rated = solve(docs, **params)(docs).where("__copies > 0")
-    return rated.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    tilt = solve(docs, text_col=text_col, source_col=source_col, lang_col=lang_col, **params)
+    rated = _rated(docs, tilt, id_col, text_col, source_col, lang_col).where("copies > 0")
+    many: Column = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return rated.withColumn("nth", many).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
