@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from rowloom.llm.common import Table, Words, pieces, with_row_key
+from rowloom.llm.common import KEY_BITS, Table, Words, frequent, mix, pieces, shards_for, to_shards, with_row_key
 
 #: At most so many labelled documents of each side (preferred or not) are fitted on.
 TRAIN_DOCS = 4000
@@ -22,6 +22,8 @@ MIN_DOCS = 10
 HELD_OUT = 4
 #: The shares of preferred documents under the threshold that are tried.
 QUANTILES = [i / 1000 for i in range(201)]
+#: Scores are counted in so many bins of equal width; the threshold is the edge of one.
+BINS = 1 << 16
 #: The share if no document that is not preferred is held out.
 QUANTILE = 0.002
 #: Beginnings of rare words are features if at most this share of documents hold them.
@@ -167,22 +169,26 @@ def set_threshold(model: Ranker, held: DataFrame, quantile: float | None = None)
 
     Of the quantiles of the preferred documents' scores, that with the least sum of the share of preferred
     documents lost and the share of others missed; the smallest of equals.  A given ``quantile`` is taken as it is.
+    Scores are counted in ``BINS`` bins between the least and the greatest, so no task sees them all: the quantiles
+    are exact to the width of a bin.
     """
+    least, most, goods, all_ = held.agg(F.min("score"), F.max("score"), F.count_if("ok"), F.count("*")).first()
+    if not goods:
+        return
+    width = (most - least) / BINS or 1.0
+    counts = np.zeros((2, BINS + 1))
+    at = F.least(F.floor((F.col("score") - F.lit(least)) / F.lit(width)), F.lit(BINS - 1)).cast("int")
+    for row in held.groupBy("ok", at.alias("bin")).count().toLocalIterator():
+        counts[int(row["ok"]), row["bin"]] += row["count"]
+    # shares under the lower edge of each bin
+    bad, good = (np.concatenate(([0], np.cumsum(c)[:-1])) / max(c.sum(), 1) for c in counts)
     tried = QUANTILES if quantile is None else [quantile]
-    if quantile is None and held.where("not ok").isEmpty():
+    if quantile is None and goods == all_:
         tried = [QUANTILE]
-    cuts = held.where("ok").agg(F.percentile("score", F.array(*map(F.lit, tried)))).first()[0]
-    if cuts is None:
-        return
-    # a document counts under the cuts above its score
-    over = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("score")))
-    counts = np.zeros((2, len(cuts) + 1))
-    for row in held.groupBy("ok", over.alias("n")).count().collect():
-        counts[int(row["ok"]), row["n"]] += row["count"]
-    missed, kept = (np.cumsum(c[::-1])[::-1][1:] / max(c.sum(), 1) for c in counts)
-    best = int(np.argmin(1 - kept + missed))
-    model.threshold, model.lost = float(cuts[best]), float(1 - kept[best])
-    model.caught = float(1 - missed[best]) if counts[0].sum() else None
+    edges = np.maximum(np.searchsorted(good, np.array(tried) + 1e-12, side="right") - 1, 0)
+    best = int(edges[np.argmin(good[edges] + 1 - bad[edges])])
+    model.threshold, model.lost = float(least + best * width), float(good[best])
+    model.caught = float(bad[best]) if goods < all_ else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float | None = None, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Ranker | None:
@@ -194,12 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float | None = None, train
     in id or quality are left out; a NULL toxic counts as 0.  Returns None if either side is missing, when there
     is nothing to rank by.
     """
-    lab = labels.select(F.col(f"`{id_col}`").alias("__i"), F.expr("quality = 1 and coalesce(toxic, 0) = 0").alias("ok")).where("__i is not null and ok is not null").groupBy("__i").agg(F.min("ok").alias("ok"))
-    held_out = F.pmod(F.xxhash64("__i", F.lit("held out")), F.lit(HELD_OUT)) == 0
-    both = with_row_key(docs, [id_col, text_col]).where("k1 is not null").join(lab, F.col("k0") == F.col("__i")).select("k0", "k1", "ok")
+    lab = with_row_key(labels, [id_col, "quality", "toxic"]).select(F.col("k0").alias("i"), F.expr("k1 = 1 and coalesce(k2, 0) = 0").alias("ok")).where("i is not null and ok is not null").groupBy("i").agg(F.min("ok").alias("ok"))
+    held_out = F.pmod(F.xxhash64("i", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    src = with_row_key(docs, [id_col, text_col]).where("k1 is not null")
     # the smallest hashes of each side: take() of a sorted column is a bounded heap a task
-    picked = [lab.join(docs.select(F.col(f"`{id_col}`").alias("__i")), "__i", "left_semi").where((F.col("ok") == ok) & ~held_out).select("__i").orderBy(F.xxhash64("__i"), "__i").limit(train_docs) for ok in (True, False)]
-    sample = both.join(F.broadcast(picked[0].union(picked[1])), F.col("k0") == F.col("__i"), "left_semi").dropDuplicates(["k0"])
+    known = lab.join(src.select(F.col("k0").alias("i")), "i", "left_semi")
+    picked = [known.where((F.col("ok") == ok) & ~held_out).orderBy(F.xxhash64("i"), "i").limit(train_docs) for ok in (True, False)]
+    sample = src.join(F.broadcast(picked[0].union(picked[1])), F.col("k0") == F.col("i")).groupBy("k0").agg(F.min(F.struct(F.xxhash64("k1"), "k1"))["k1"].alias("k1"), F.first("ok").alias("ok"))
     rows = sorted(sample.toLocalIterator(), key=lambda r: r["k0"])
     ok = np.array([r["ok"] for r in rows], bool)
     if not ok.any() or ok.all():
@@ -229,21 +236,46 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float | None = None, train
     doc, col = _expand_all(at, word, [_features(w, lexicon) for w in names])
     w, lw = _bradley_terry(x, doc, col, len(lexicon), np.flatnonzero(ok), np.flatnonzero(~ok), np.random.default_rng(seed))
     model = Ranker(w, {k: float(lw[i]) for k, i in lexicon.items() })
-    # every document is scored where it lies; only ids and scores meet the labels
-    scored = score(docs.where(F.col(f"`{text_col}`").isNotNull()), model, id_col, text_col).join(lab.where(held_out), F.col("doc_id") == F.col("__i")).select("score", "ok")
-    held = Table(scored)
+    held = Table(_score_some(src, lab.where(held_out), model))
     set_threshold(model, held.df, quantile)
     held.drop()
     return model
 
 
-def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row, in one pass without a shuffle."""
+def _score_some(src: DataFrame, lab: DataFrame, model: Ranker) -> DataFrame:
+    """(score, ok) of the rows whose id is in ``lab``.  A bitmap of the ids says where a row need not be scored; the
+    others are scored where they lie, and only ids and scores meet the labels."""
+    drop = np.uint64(64 - KEY_BITS)
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return mix(pc.fill_null(batch.column(0).cast(pa.int64()), -1).to_numpy(zero_copy_only=False).view(np.uint64)) >> drop
+
+    n_shards = shards_for(8 * lab.count())
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(to_shards(keys(batch), n_shards))
+            if rows:
+                yield pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    spark = src.sparkSession
+    asked = spark.sparkContext.broadcast(frequent(lab.select("i").mapInArrow(key, "shard int, payload binary"), [1], n_shards))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(asked.value.has(0, keys(batch))))
+
+    few = src.select(F.col("k0").cast("long").alias("k0"), "k1")
+    return score(few, model, "k0", "k1", only).join(lab, F.col("doc_id") == F.col("i")).select("score", "ok")
+
+
+def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text", only=None) -> DataFrame:
+    """(doc_id, score) of every row, in one pass without a shuffle.  ``only`` may thin out the batches first."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in only(batches) if only else batches:
             for part in pieces(batch, "k1", SCORE_BYTES):
                 yield pa.record_batch({"doc_id": part.column("k0").cast(pa.int64()), "score": pa.array(shared.value.scores(part.column("k1"), seen))})
 
@@ -254,25 +286,26 @@ def keep_good(docs: DataFrame, model: Ranker | None, text_col: str = "text", wit
     """The rows that score at least the model's threshold, with all their columns (and ``score`` if asked).
 
     NULL texts are rejected: there is nothing to judge.  Empty texts are scored like any other.  Equal scores
-    are kept or rejected together; repeated rows likewise.  Columns of any name and type pass through.
+    are kept or rejected together; repeated rows likewise.  Columns of any name and type pass through; with
+    ``with_score`` one named ``score`` is replaced.  An empty table gives an empty table.
     Without a model (no preference could be learnt) every row with a text is kept, with a NULL score.
     """
+    names = [c for c in docs.columns if not (with_score and c == "score")]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    text = f"c{names.index(text_col)}"
+    plain = plain.where(F.col(text).isNotNull())
     if model is None:
-        kept = docs.where(F.col(f"`{text_col}`").isNotNull())
-        return kept.withColumn("score", F.lit(None).cast("double")) if with_score else kept
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    at = docs.columns.index(text_col)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, {}
-        for batch in batches:
-            for part in pieces(batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]), f"c{at}", SCORE_BYTES):
-                s = m.scores(part.column(at), seen)
-                kept = pa.Table.from_batches([part]).append_column("__score", pa.array(s)).filter(pa.array(s >= m.threshold))
-                yield from kept.rename_columns(schema.names).to_batches()
-
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    scored = docs.where(F.col(f"`{text_col}`").isNotNull()).mapInArrow(rank, schema)
-    names = [F.col(f"`{c}`") for c in docs.columns if not (with_score and c == "score")]
-    return scored.select(*names, *([F.col("__score").alias("score")] if with_score else []))
+        kept = plain.withColumn("s", F.lit(None).cast("double"))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        schema = StructType([*plain.schema.fields, StructField("s", DoubleType())])
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, seen = shared.value, {}
+            for batch in batches:
+                for part in pieces(batch, text, SCORE_BYTES):
+                    s = m.scores(part.column(text), seen)
+                    yield from pa.Table.from_batches([part]).append_column("s", pa.array(s)).filter(pa.array(s >= m.threshold)).to_batches()
+
+        kept = plain.mapInArrow(rank, schema)
+    return kept.toDF(*names, "score") if with_score else kept.drop("s").toDF(*names)
