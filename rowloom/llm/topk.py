@@ -24,7 +24,7 @@ K = 10
 K1, B = 1.2, 0.75
 #: Impacts are integers, in millionths, so that sums are exact and ties are ties.
 SCALE = 1_000_000
-#: Distinct query words that one pass over the documents looks for; more queries than that take more passes.
+#: Words over all queries of one pass over the documents; more queries than that take more passes.
 PASS_WORDS = 1 << 20
 #: Documents of a partition.
 PART_DOCS = 8192
@@ -88,17 +88,33 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str
 
 
 def _queries(table: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[dict[str, int], dict[int, list[int]]]]:
-    """Batches of queries: the number of each word, and the distinct words of each query."""
+    """Batches of queries: the number of each word, and the distinct words of each query.
+
+    Rows that repeat an id are one query and meet before the batches are cut, so a query is never in two of them.  A
+    batch holds at most ``PASS_WORDS`` words over all its queries (or one query alone), which bounds what is sent.
+    """
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "k1"):
+                row, word, _, names, _ = _bags(part.column("k1"))
+                ids = part.column("k0").cast(pa.int64()).to_numpy(zero_copy_only=False)
+                yield pa.record_batch({"id": pa.array(ids[row], pa.int64()), "word": pa.array(names, pa.string()).take(pa.array(word))})
+
+    rows = with_row_key(table, [id_col, text_col]).where("k0 is not null and k1 is not null").mapInArrow(bags, "id long, word string")
+    whole = Table(rows.groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("words")))
     vocab: dict[str, int] = {}
     queries: dict[int, list[int]] = {}
-    for row in with_row_key(table, [id_col, text_col]).where("k0 is not null and k1 is not null").toLocalIterator():
-        mine = {vocab.setdefault(w, len(vocab)) for w in Words(pa.array([row["k1"]]), lower=True).vocab}
-        queries[row["k0"]] = sorted(mine.union(queries.get(row["k0"], [])))
-        if len(vocab) >= PASS_WORDS:
+    held = 0
+    for row in whole.df.toLocalIterator():
+        if queries and held + len(row["words"]) > PASS_WORDS:
             yield vocab, queries
-            vocab, queries = {}, {}
+            vocab, queries, held = {}, {}, 0
+        queries[row["id"]] = sorted(vocab.setdefault(w, len(vocab)) for w in row["words"])
+        held += len(row["words"])
     if queries:
         yield vocab, queries
+    whole.drop()
 
 
 def _search(src: DataFrame, vocab: dict[str, int], queries: dict[int, list[int]], k: int) -> DataFrame:
