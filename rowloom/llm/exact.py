@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+COUNT, HASH = "n_copies", "content_hash"
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct text, that of the smallest id, with ``n_copies`` and ``content_hash`` added.
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """One row for each distinct text, that of the smallest id; with ``counts`` also ``n_copies`` and ``content_hash``.
 
     The grouping key is (md5(text), text): rows meet by hash and are told apart by their bytes, so two texts
     whose hashes collide are both kept.  Copies collapse before the shuffle (partial aggregation), so a text
@@ -15,31 +18,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     NULL texts have no content to compare: each such row is kept, with a NULL hash and ``n_copies`` 1.  Empty
     texts are content like any other.  NULL ids sort last, so they are kept only if no copy has an id.  Of rows
-    that tie on the id, the one smallest in the remaining columns stays.  Columns of the input named
-    ``n_copies`` or ``content_hash`` are replaced.  An empty table gives an empty table.
+    that tie on the id, the one smallest in the remaining columns stays, maps and variants compared by how they print.
+    The row that stays is whole: no column is taken from another copy.  Columns of any name and type pass through, but
+    with ``counts`` those named ``n_copies`` or ``content_hash`` are replaced.  An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in ("n_copies", "content_hash")]
-    rest = [c for c in names if c not in (id_col, text_col)]
-    sortable = [c for c in rest if not isinstance(docs.schema[c].dataType, _unorderable())]
-    row = F.struct(F.col(f"`{id_col}`").isNull().alias("r0"), F.col(f"`{id_col}`").alias("r1"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest) if c in sortable])
-    others = [F.first(F.col(f"`{c}`")).alias(f"x{i}") for i, c in enumerate(rest) if c not in sortable]
-    text = F.col(f"`{text_col}`")
-    grouped = docs.where(text.isNotNull()).groupBy(F.md5(text).alias("__hash"), text.alias("__text")).agg(F.min(row).alias("__row"), F.count("*").alias("__n"), *others)
-
-    def back(c: str) -> F.Column:
-        if c == id_col:
-            return F.col("__row.r1").alias(c)
-        if c == text_col:
-            return F.col("__text").alias(c)
-        i = rest.index(c)
-        return F.col(f"__row.c{i}" if c in sortable else f"x{i}").alias(c)
-
-    kept = grouped.select(*[back(c) for c in names], F.col("__n").alias("n_copies"), F.col("__hash").alias("content_hash"))
-    blank = docs.where(text.isNull()).select(*[F.col(f"`{c}`") for c in names], F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("string").alias("content_hash"))
-    return kept.unionByName(blank)
-
-
-def _unorderable() -> tuple:
-    from pyspark.sql import types as T
-
-    return (T.MapType, T.VariantType)
+    kept = [c for c in docs.columns if not counts or c not in (COUNT, HASH)]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    key, text = (f"c{kept.index(c)}" for c in (id_col, text_col))
+    rest = [F.col(f.name) if _orderable(f.dataType) else F.col(f.name).cast("string") for f in plain.schema.fields if f.name not in (key, text)]
+    order = F.struct(F.col(key).isNull(), F.col(key), *rest)
+    row = F.struct(*[c for c in plain.columns if c != text], F.lit(0).alias("pad"))
+    grouped = plain.where(F.col(text).isNotNull()).groupBy(F.md5(text).alias("hash"), F.col(text)).agg(F.min_by(row, order).alias("row"), F.count("*").alias("n"))
+    one = grouped.select(*[F.col(c if c == text else f"row.{c}").alias(c) for c in plain.columns], "n", "hash")
+    blank = plain.where(F.col(text).isNull()).select("*", F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("hash"))
+    both = one.unionByName(blank)
+    return both.toDF(*kept, COUNT, HASH) if counts else both.drop("n", "hash").toDF(*kept)
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
