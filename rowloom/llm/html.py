@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import mix, pieces, shards_for, text_bytes, with_row_key
+from rowloom.llm.common import Table, Words, mix, pieces, shards_for, text_bytes, with_row_key
 from rowloom.llm.pfp import repeated_spans
 
 MIN_TOKENS = 12
@@ -32,10 +32,15 @@ TRIGGER_TOKENS, TRIGGER_MODULUS = 2, 3
 #: A run of the page's own tokens must be so long to be kept; shorter ones are scraps between two boilerplates.
 MIN_RUN = 1
 
-#: Markup in order: comments, elements whose content is no text, block tags (a line ends), other tags (nothing).
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|table|tr|td|th|dl|dt|dd|pre|blockquote|form|hr|body|html|title|figure|figcaption|option|select|button)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+#: The rest of a tag: values in quotes may hold ">"; a quote that does not close, or stands elsewhere, counts for nothing.
+_REST = r"(?:(?:[^<>=]++|=\s*+(?:\"[^\"<]*+\"|'[^'<]*+')?+)*+>|[^>]*>)"
+#: Comments, and elements whose content is no text: they open here, and ``_without`` looks for their ends.
+_OPEN = re.compile(rf"<!--|<(script|style|noscript|template|svg|title)\b{_REST}", re.I)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "title")}
+#: Of these the rest of the page goes if they do not close, as a browser has it; of the others only the tag.
+_TO_THE_END = ("script", "style")
+_BLOCK = re.compile(rf"</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|table|tr|td|th|dl|dt|dd|pre|blockquote|form|hr|body|head|html|title|figure|figcaption|option|select|button)\b{_REST}", re.I)
+_TAG = re.compile(rf"<[/!?a-zA-Z]{_REST}")
 _HOST = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -45,22 +50,40 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def visible_text(page: str) -> str:
-    """The text of a page with a line for each block; scripts, styles, comments and the head go."""
-    text = _BLOCK.sub("\n", _GONE.sub(" ", page))
-    return _html.unescape(_TAG.sub("", text)).replace("\0", "")
+def _without(page: str) -> str:
+    """The page without comments and elements whose content is no text, each a space; one look at each character."""
+    out, at, open_ended = [], 0, set()
+    while (m := _OPEN.search(page, at)) is not None:
+        kind = (m[1] or "").lower()
+        out.append(page[at : m.start()])
+        at = m.end()
+        if not kind:
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+        elif kind not in open_ended:
+            close = _CLOSE[kind].search(page, at)
+            if close:
+                at = close.end()
+            elif kind in _TO_THE_END:
+                at = len(page)
+            else:
+                open_ended.add(kind)
+        out.append(" ")
+    out.append(page[at:])
+    return "".join(out)
 
 
 def blocks_of(page: str | None) -> list[list[str]]:
-    """``tokens_of`` by block, without blocks that have none; line ends of the source end no block."""
+    """The visible tokens of a page by block, without blocks that have none; line ends of the source end no block."""
     if not page:
         return []
-    lines = _TAG.sub("", _BLOCK.sub("\n", _GONE.sub(" ", page).replace("\n", " "))).replace("\0", "").split("\n")
-    return [w for x in lines if (w := (_html.unescape(x) if "&" in x else x).split())]
+    lines = _TAG.sub("", _BLOCK.sub("\n", _without(page).replace("\n", " "))).replace("\0", "").split("\n")
+    return [w for x in lines if (w := (_html.unescape(x) if "&" in x else x).replace("\0", "").split())]
 
 
 def tokens_of(page: str | None) -> list[str]:
-    return visible_text(page).split() if page else []
+    """The visible tokens of a page: scripts, styles, comments and the title are no text."""
+    return [t for b in blocks_of(page) for t in b]
 
 
 def block_windows(ends: np.ndarray, least: int, most: int) -> np.ndarray:
@@ -76,40 +99,41 @@ def block_windows(ends: np.ndarray, least: int, most: int) -> np.ndarray:
     return both[both[:, 1] - both[:, 0] < most]
 
 
-def _stream(part: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each page, content digests, offsets, and token hashes salted by the host."""
-    pages = [tokens_of(t) for t in part.column("k2").to_pylist()]
-    salts = np.array([xxhash.xxh3_64_intdigest(host_of(u)) for u in part.column("k1").to_pylist()], np.uint64)
-    off = np.concatenate(([0], np.cumsum([len(t) for t in pages]))).astype(np.int64)
-    known: dict[str, int] = {}
-    h = xxhash.xxh3_64_intdigest
-    flat = np.empty(int(off[-1]), np.uint64)
-    at = 0
-    for page in pages:
-        for t in page:
-            got = known.get(t)
-            if got is None:
-                got = known[t] = h(t)
-            flat[at] = got
-            at += 1
-    flat = mix(flat ^ np.repeat(salts, np.diff(off)))
-    digest = np.array([xxhash.xxh3_64_intdigest(flat[a:b].tobytes()) for a, b in pairwise(off.tolist())], np.uint64).astype(np.int64)
-    return pages, digest, off, flat
+def _stream(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, content digests, offsets, and token hashes salted by the host, of parsed pages."""
+    words = Words(part.column("body"), sep=True)
+    salts = np.array([xxhash.xxh3_64_intdigest(h) for h in part.column("host").to_pylist()], np.uint64)
+    flat = mix(words.hashes() ^ np.repeat(salts, np.diff(words.off)))
+    digest = np.array([xxhash.xxh3_64_intdigest(flat[a:b].tobytes()) for a, b in pairwise(words.off.tolist())], np.uint64).view(np.int64)
+    return part.column("id").to_numpy(zero_copy_only=False), digest, words.off, flat
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(id, host, body) of pages (k0, k1, k2): the visible tokens, a space after each and a line end after each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "k2"):
+                bodies = ["\n".join(map(" ".join, blocks_of(x))) for x in part.column("k2").to_pylist()]
+                yield pa.record_batch({"id": part.column("k0").cast(pa.int64()), "host": pa.array(map(host_of, part.column("k1").to_pylist()), pa.string()), "body": pa.array(bodies, pa.string())})
+
+    return rows.mapInArrow(run, "id long, host string, body string")
 
 
 def shared_blocks(src: DataFrame, least: int, most: int, n_shards: int) -> DataFrame:
     """(id, start, length) of the windows of whole blocks that distinct pages of a host share."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "k2"):
+            for part in pieces(batch, "body"):
                 h = xxhash.xxh3_64_intdigest
                 page, at, key, digest = [], [], [], np.zeros(part.num_rows, np.int64)
-                for i, (url, text) in enumerate(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist())):
+                for i, (host, text) in enumerate(zip(part.column("host").to_pylist(), part.column("body").to_pylist())):
                     tok, size = [], []
-                    for b in blocks_of(text):
-                        tok += b
-                        size.append(len(b))
-                    salt = h(host_of(url))
+                    for b in text.split("\n") if text else ():
+                        words = b.split(" ")
+                        tok += words
+                        size.append(len(words))
+                    salt = h(host)
                     digest[i] = h(" ".join(tok)) - (1 << 63)
                     for a, b in block_windows(np.cumsum(size), least, most).tolist() if size else ():
                         page.append(i)
@@ -118,7 +142,7 @@ def shared_blocks(src: DataFrame, least: int, most: int, n_shards: int) -> DataF
                 if not at:
                     continue
                 page, at, key = np.array(page), np.array(at), np.array(key, np.uint64)
-                ids = part.column("k0").cast(pa.int64()).to_numpy(zero_copy_only=False)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
                 shard = (key % np.uint64(n_shards)).astype(np.int64)
                 for s in np.unique(shard).tolist():
                     own = np.flatnonzero(shard == s)
@@ -146,36 +170,32 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
     Every ``min_tokens`` tokens in a row that another page of the host has too are boilerplate, and every run of whole
     blocks of ``min_block`` tokens or more that another page has as whole blocks; runs of at least
     ``min_run`` other tokens are kept, a line each.  Pages with the same tokens are one page: copies do not make
-    each other boilerplate.  The head, scripts, styles and comments are no text.  Broken markup is read as far as
-    it goes: an unclosed comment or script hides the rest.
+    each other boilerplate.  Titles, scripts, styles and comments are no text.  Broken markup is read as far as
+    it goes: an unclosed comment, script or style hides the rest, any other unclosed tag only itself; optional end tags,
+    that of the head included, may be missing.  Values in quotes may hold ">", but not "<".
 
     NULL or empty pages give an empty text with 0 tokens.  A NULL or odd url belongs to the host "".  Rows with a
     NULL id bear on no other page and are returned with all their tokens.  Rows that repeat an id are searched each
     and lose the spans of both.  Other columns are ignored.  An empty table gives an empty result.
     """
-    spark = pages.sparkSession
-    rows = with_row_key(pages, [id_col, url_col, html_col])
-
-    def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        _, digest, off, h = _stream(part)
-        return part.column("k0").cast(pa.int64()).to_numpy(zero_copy_only=False), digest, off, h
-
-    known = rows.where("k0 is not null and k2 is not null")
-    n_shards = shards_for(text_bytes(known, "k2"))
-    spans = repeated_spans(known, "k2", tokens, min_tokens, w, p, n_shards).union(shared_blocks(known, min_block, min_tokens, n_shards))
+    # each page is parsed once; what follows reads its tokens
+    whole = Table(parsed(with_row_key(pages, [id_col, url_col, html_col]))).df
+    known = whole.where("id is not null and body <> ''")
+    n_shards = shards_for(text_bytes(known, "body"))
+    spans = repeated_spans(known, "body", _stream, min_tokens, w, p, n_shards).union(shared_blocks(known, min_block, min_tokens, n_shards))
     # Both sides come to a page's bucket in packed form: one compressed row for each bucket of a batch.
     bucket = F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3)
         for batch in batches:
-            for part in pieces(batch, "k2"):
-                home = np.array(part.column("k3").to_pylist())
-                ids, urls, texts = (part.column(c).to_pylist() for c in ("k0", "k1", "k2"))
+            for part in pieces(batch, "body"):
+                home = np.array(part.column("bucket").to_pylist())
+                ids, hosts, texts = (part.column(c).to_pylist() for c in ("id", "host", "body"))
                 for s in np.unique(home).tolist():
                     own = np.flatnonzero(home == s).tolist()
-                    body = "\0".join(" ".join(tokens_of(texts[i])) for i in own)
-                    yield pa.record_batch({"bucket": pa.array([s], pa.int32()), "ids": pa.array([[ids[i] for i in own]], pa.list_(pa.int64())), "hosts": pa.array([[host_of(urls[i]) for i in own]], pa.list_(pa.string())), "body": pa.array([pack.compress(body.encode())], pa.binary())})
+                    body = "\0".join(texts[i].replace("\n", " ") for i in own)
+                    yield pa.record_batch({"bucket": pa.array([s], pa.int32()), "ids": pa.array([[ids[i] for i in own]], pa.list_(pa.int64())), "hosts": pa.array([[hosts[i] for i in own]], pa.list_(pa.string())), "body": pa.array([pack.compress(body.encode())], pa.binary())})
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         at: dict[int, list[tuple[int, int]]] = {}
@@ -185,7 +205,7 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
         unpack = zstandard.ZstdDecompressor()
         for ids, hosts, body in zip(left.column("ids").to_pylist(), left.column("hosts").to_pylist(), left.column("body").to_pylist()):
             for i, host, text in zip(ids, hosts, unpack.decompress(body).decode().split("\0")):
-                tok, lines, done, covered = text.split(), [], 0, 0
+                tok, lines, done, covered = text.split(" ") if text else [], [], 0, 0
                 for a, b in [*sorted(at.get(i, [])), (len(tok), len(tok))]:
                     if a - done >= min_run and a > done:
                         lines.append(" ".join(tok[done:a]))
@@ -195,5 +215,5 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
         c = list(zip(*out)) or [()] * 5
         return pa.table({"page_id": pa.array(c[0], pa.int64()), "host": pa.array(c[1], pa.string()), "text": pa.array(c[2], pa.string()), "n_tokens": pa.array(c[3], pa.int64()), "n_boilerplate": pa.array(c[4], pa.int64())})
 
-    packed = rows.withColumn("k3", F.pmod(F.xxhash64(F.col("k0").cast("long")), F.lit(n_shards)).cast("int")).mapInArrow(squeeze, "bucket int, ids array<long>, hosts array<string>, body binary")
+    packed = whole.withColumn("bucket", bucket).mapInArrow(squeeze, "bucket int, ids array<long>, hosts array<string>, body binary")
     return packed.groupBy("bucket").cogroup(spans.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(cut, "page_id long, host string, text string, n_tokens long, n_boilerplate long")
