@@ -66,3 +66,22 @@ def test_stages(spark):
     bins = stages["best-fit packing"](spark, mixed, SF).collect()
     assert sum(r["used"] for r in bins) == sum(len(rows[i]["text"].split()) * n for i, n in times.items())
     assert sorted((r["used"], r["doc_ids"]) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r["used"], r["doc_ids"]) for r in bins)
+
+
+def test_stages_edges(spark, tmp_path):
+    """NULLs, empties, repeats, clashing names, maps and empty tables through every stage."""
+    rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "a b c d", "en", None, 7), (3, None, None, "t", 7), (None, "x", "de", "t", 7), (4, "", "en", "s", 7), (5, " ", "en", "u", 7), (6, "word " * 30_000, "en", "u", 7)]
+    docs = spark.createDataFrame([(i, t, g, s, k, k, k, k, k, {"m": k}, k) for i, t, g, s, k in rows], "doc_id long, text string, lang string, source string, n_copies int, __score int, __n int, __gone int, c0 int, m map<string,int>, `a.b` int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    last = "best-fit packing"
+    want = {"quality classifier": [1, 1, 2, None, 4, 5, 6], "exact dedup": [1, 3, None, 4, 5, 6], "n-gram jaccard join": [1, 1, 3, None, 4, 5, 6], "mixing sources": [1, 1, 2, 3, None, 4, 5, 6]}
+    for name, stage in stages.items():
+        got, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.schema == got.schema
+        if name == last:
+            assert sum(r["used"] for r in got.collect()) == 3 * 4 + 1 + 30_000
+            continue
+        assert got.columns == docs.columns and got.where("n_copies <> 7 or __score <> 7 or __n <> 7 or c0 <> 7 or m['m'] <> 7 or `a.b` <> 7").count() == 0, name
+        ids = [r["doc_id"] for r in got.collect()]
+        assert sorted(map(str, set(ids) if name == "mixing sources" else ids)) == sorted(map(str, set(want[name]) if name == "mixing sources" else want[name])), name
