@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,13 +55,46 @@ def schema_struct(reply: Column, schema: str) -> Column:
     return F.from_json(json_text(reply), schema)
 
 
-def schema_error(reply: Column, schema: str, required: list[str]) -> Column:
-    """Why a reply does not fit: ``no json``, the first required field that is missing, or NULL."""
-    got = schema_struct(reply, schema)
+def schema_error(reply: Column, schema: str, required: list[str] | None = None) -> Column:
+    """Why a reply does not fit: ``no json``, the first required field that is missing, the first that is there but not
+    of its type, or NULL."""
+    from pyspark.sql import types as T
+
+    got, doc = schema_struct(reply, schema), json_text(reply)
     error = F.lit(None).cast("string")
-    for name in reversed(required):
-        error = F.when(got[name].isNull(), F.lit(f"missing {name}")).otherwise(error)
-    return F.when(json_text(reply).isNull(), "no json").otherwise(error)
+    for name in reversed(T.StructType.fromDDL(schema).fieldNames()):
+        there = F.get_json_object(doc, f"$.{name}")
+        error = F.when(there.isNotNull() & got[name].isNull(), F.lit(f"wrong type {name}")).otherwise(error)
+    for name in reversed(required or []):
+        error = F.when(F.get_json_object(doc, f"$.{name}").isNull(), F.lit(f"missing {name}")).otherwise(error)
+    return F.when(doc.isNull(), "no json").otherwise(error)
+
+
+def schema_fields(reply: Column, names: list[str], schema: str, strict: bool = False) -> dict[str, Column]:
+    """Output columns from a struct of the schema, as text.  A reply that does not fit gives NULLs; ``strict`` ends the
+    job with what is wrong."""
+    got, error = schema_struct(reply, schema), schema_error(reply, schema)
+    bad = F.raise_error(F.concat(F.lit("reply does not fit: "), error)).cast("string") if strict else F.lit(None).cast("string")
+    kinds = _kinds(schema)
+    if missing := [n for n in names if n not in kinds]:
+        raise ValueError(f"the schema has no {missing}")
+
+    def shown(n: str) -> Column:
+        return F.to_json(got[n]) if kinds[n].startswith(("array", "struct", "map")) else got[n].cast("string")
+
+    return {n: F.when(reply.isNull(), F.lit(None).cast("string")).when(error.isNotNull(), bad).otherwise(shown(n)) for n in names}
+
+
+def _kinds(schema: str) -> dict[str, str]:
+    from pyspark.sql import types as T
+
+    return {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(schema).fields}
+
+
+def strict_json(reply: Column) -> Column:
+    """The JSON document of a reply; one without ends the job."""
+    doc = json_text(reply)
+    return F.when(reply.isNull() | doc.isNotNull(), doc).otherwise(F.raise_error(F.concat(F.lit("no JSON in: "), F.substring(reply, 1, 80))).cast("string"))
 
 
 def regex_field(reply: Column, pattern: str) -> Column:
@@ -76,15 +111,25 @@ def regex_fields(reply: Column, patterns: dict[str, str], names: list[str]) -> d
     return {n: regex_field(reply, patterns[n]) for n in names}
 
 
-def outputs(reply: Column, names: list[str], parser: str = "raw", patterns: dict[str, str] | None = None) -> dict[str, Column]:
+def outputs(reply: Column, names: list[str], parser: str = "raw", patterns: dict[str, str] | None = None, schema: str | None = None) -> dict[str, Column]:
     """The output columns by the parser's name."""
     if parser == "raw":
         return {n: raw(reply) for n in names}
-    if parser == "json":
-        return json_fields(reply, names)
+    if parser in ("json", "strict_json"):
+        return json_fields(strict_json(reply) if parser == "strict_json" else reply, names)
     if parser == "regex":
         return regex_fields(reply, patterns or {}, names)
-    raise ValueError(f"parser must be raw, json or regex, not {parser!r}")
+    if parser in ("schema", "strict_schema"):
+        if not schema:
+            raise ValueError("the schema parser needs a schema")
+        return schema_fields(reply, names, schema, parser == "strict_schema")
+    if parser in PARSERS:
+        return PARSERS[parser](reply, names)
+    raise ValueError(f"parser must be raw, json, strict_json, regex, schema, strict_schema or one of {sorted(PARSERS)}, not {parser!r}")
+
+
+#: Parsers of your own, by name: (reply, output names) to columns.
+PARSERS: dict[str, Callable[[Column, list[str]], dict[str, Column]]] = {}
 
 
 #: Parts of a message, in the order in which they decide, and the error that they stand for.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.functions.similarity import tfidf_pairs
+from rowloom.functions.similarity import ALONE, tfidf_pairs
+from rowloom.functions.text import tokenize
+from rowloom.operators.rows import top_k
 
 
 def grounding(df: DataFrame, key: str, answer: str, sources: list[str], threshold: float = 0.3, digits: int = 6) -> DataFrame:
@@ -31,15 +33,38 @@ def contradictions(df: DataFrame, key: str, value: str, order: str, tolerance: f
     """(key, first, second, value_a, value_b): the first rows of distinct values of a key that contradict.
 
     Only the first row of each (key, value) takes part, so a frequent value costs one row; empty and NULL values
-    say nothing.
+    say nothing.  Of values that share their first row, the smaller text comes first.  With a ``tolerance``, keys whose
+    values are all numbers no further apart than that are left out before rows meet.
     """
     text = F.col(value).cast("string")
     once = df.where(text.isNotNull() & (text != "")).groupBy(F.col(key).alias("k"), text.alias("v")).agg(F.min(order).alias("o"))
+    number = F.col("v").try_cast("double")
+    spread = (F.max(number) - F.min(number) > F.lit(tolerance)) | (F.count(number) < F.count("*")) if tolerance is not None else F.lit(True)
+    some = once.groupBy("k").agg(F.count("*").alias("n"), spread.alias("apart")).where("n > 1 and apart").select("k")
+    once = once.join(some, "k", "left_semi")
     a, b = once.alias("a"), once.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.o") < F.col("b.o")) & contradicts(F.col("a.v"), F.col("b.v"), tolerance))
+    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.struct("a.o", "a.v") < F.struct("b.o", "b.v")) & contradicts(F.col("a.v"), F.col("b.v"), tolerance))
     return pairs.select(F.col("a.k").alias(key), F.col("a.o").alias("first"), F.col("b.o").alias("second"), F.col("a.v").alias("value_a"), F.col("b.v").alias("value_b"))
 
 
+def flag_contradictions(df: DataFrame, key: str, value: str, order: str, tolerance: float | None = None) -> DataFrame:
+    """``_contradiction``: whether an earlier row of the same key has a value that contradicts this one.
+
+    One window a key: the extremes of the numbers before a row and of the texts before it decide, so no row meets
+    another.  Empty and NULL values say nothing and are not flagged.
+    """
+    text = F.col(value).cast("string")
+    known = F.when(text != "", text)
+    number = known.try_cast("double") if tolerance is not None else F.lit(None).cast("double")
+    word = F.when(number.isNull(), known)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = {"__nl": F.min(number), "__nh": F.max(number), "__wl": F.min(word), "__wh": F.max(word)}
+    rows = df.withColumns({k: v.over(before) for k, v in seen.items()})
+    apart = F.when(number.isNotNull(), (number - F.col("__nl") > F.lit(tolerance)) | (F.col("__nh") - number > F.lit(tolerance)) | F.col("__wl").isNotNull())
+    other = F.when(word.isNotNull(), (F.col("__wl") != word) | (F.col("__wh") != word) | F.col("__nl").isNotNull())
+    return rows.withColumn("_contradiction", F.coalesce(apart, other, F.lit(False))).drop(*seen)
+
+
 def symmetric(pairs: DataFrame, a: str = "first", b: str = "second") -> DataFrame:
     """Each pair in both directions, once."""
     return pairs.select(a, b).union(pairs.select(F.col(b), F.col(a))).distinct()
@@ -66,3 +91,74 @@ def confidence(score: Column, support_count: Column | None = None, mode: str = "
         raise ValueError(f"unknown mode {mode!r}")
     s = F.lit(0) if support_count is None else F.coalesce(support_count, F.lit(0))
     return F.when(score.isNotNull(), F.least(F.lit(1.0), score * 0.7 + F.least(s, F.lit(5)) / 5 * 0.3))
+
+
+CLAIM = "claim string, text string, source string, asserted_by string, decision string, phase string, seq long"
+
+
+class ClaimStore:
+    """Claims in a folder: what was first said stays, who said it again is kept beside it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, rows: DataFrame) -> None:
+        """Append (claim, text, source, asserted_by, decision, phase, seq) rows; a claim that exists keeps its text."""
+        names = [f.split()[0] for f in CLAIM.split(", ")]
+        rows.select(*names).write.mode("append").parquet(self.path)
+
+    def records(self) -> DataFrame:
+        return self.spark.read.schema(CLAIM).parquet(self.path)
+
+    def claims(self) -> DataFrame:
+        """(claim, text, source, support_count): the first record of each claim."""
+        r = self.records()
+        first = r.groupBy("claim").agg(F.min_by(F.struct("text", "source"), "seq").alias("r")).select("claim", "r.text", "r.source")
+        return first.join(support(r, "claim", ["asserted_by", "decision", "phase"]), "claim")
+
+    def get(self, ids: DataFrame, claim: str = "claim") -> DataFrame:
+        """The claims of the ids; those that do not exist are left out."""
+        return hydrate(ids, self.claims(), claim, "claim")
+
+    def contradictions(self, key: str = "source", tolerance: float | None = None) -> DataFrame:
+        """(first, second): claims of one key whose texts contradict, in both directions."""
+        c = self.claims().select(F.col("claim").alias("__id"), F.col(key).alias("__key"), F.col("text").alias("__text"))
+        return symmetric(contradictions(c, "__key", "__text", "__id", tolerance))
+
+    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query") -> DataFrame:
+        """(query_id, claim, score, rank): the claims that are most like a query by TF-IDF, none at 0."""
+        return search_claims(self.claims(), queries, k, query_id, query)
+
+
+def hydrate(ids: DataFrame, table: DataFrame, left: str, right: str) -> DataFrame:
+    """The table's rows for a list of ids, once for each time an id is listed; unknown ids are left out."""
+    asked = ids.select(F.col(left).alias("__asked"))
+    return asked.join(table, F.col("__asked") == F.col(right)).drop("__asked")
+
+
+def search_claims(claims: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", claim: str = "claim", text: str = "text", digits: int = 6) -> DataFrame:
+    """(query_id, claim, score, rank) by the TF-IDF cosine of query and claim, 0 left out.
+
+    The cosine is 0 without a common word, so words join by equality; what is not in common only enters the lengths,
+    which are sums over each side less what is in common.
+    """
+    def side(df: DataFrame, key: str, t: str, n: str) -> DataFrame:
+        return df.select(F.col(key).alias(key), F.explode(tokenize(F.col(t))).alias("word")).groupBy(key, "word").agg(F.count("*").alias(n))
+
+    q, c = side(queries, query_id, query, "x"), side(claims, claim, text, "y")
+    qq, cc = q.groupBy(query_id).agg(F.sum(F.col("x") * F.col("x")).alias("qq")), c.groupBy(claim).agg(F.sum(F.col("y") * F.col("y")).alias("cc"))
+    both = q.join(c, "word").groupBy(query_id, claim).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xs"), F.sum(F.col("y") * F.col("y")).alias("ys"))
+    w = ALONE * ALONE
+    scored = both.join(qq, query_id).join(cc, claim).withColumn("score", F.round(F.col("dot") / F.sqrt((F.col("xs") + (F.col("qq") - F.col("xs")) * w) * (F.col("ys") + (F.col("cc") - F.col("ys")) * w)), digits))
+    return top_k(scored.where("score > 0").select(query_id, claim, "score"), query_id, "score", claim, k)
+
+
+def verify(df: DataFrame, key: str, outputs: list[str], sources: list[str], threshold: float = 0.3, action: str = "flag") -> DataFrame:
+    """Outputs held against source columns: ``flag`` adds ``_grounding_score`` (0 below the threshold), ``skip`` also
+    makes the outputs of rows below it NULL."""
+    said = df.withColumn("__said", F.concat_ws(" ", *[F.col(f"`{c}`") for c in outputs]))
+    got = grounding(said, key, "__said", sources, threshold).select(key, "_grounding_score", "grounded")
+    out = df.join(got, key, "left")
+    if action == "skip":
+        out = out.withColumns({c: F.when(F.col("grounded"), F.col(f"`{c}`")) for c in outputs})
+    return out.drop("grounded")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from decimal import Decimal
 from email.utils import parsedate_to_datetime
 from typing import Protocol
 
@@ -24,13 +27,43 @@ CALL_FIELDS = "reply string, tokens_in long, tokens_out long, latency_ms double,
 
 
 class Client(Protocol):
-    """What a remote model offers; ``make`` functions build one in each task."""
+    """What a remote model offers; ``make`` functions build one in each task.
+
+    Only ``invoke`` is needed.  ``start`` and ``stop`` run once a task if a client has them, and
+    ``structured(prompt, schema)`` is asked instead of ``invoke`` if a schema is given.
+    """
 
     def invoke(self, prompt: str) -> tuple[str, int, int]:
         """(reply, tokens in, tokens out)"""
 
 
-class EchoClient:
+class BaseClient:
+    """Defaults for a client: words times 1.3 as tokens, and prices of a thousand tokens."""
+
+    price_in, price_out = "0", "0"
+
+    def start(self) -> None: ...
+
+    def stop(self) -> None: ...
+
+    def invoke(self, prompt: str) -> tuple[str, int, int]:
+        raise NotImplementedError
+
+    def structured(self, prompt: str, schema: str) -> tuple[str, int, int]:
+        """A reply that is a JSON object of the DDL ``schema``; by default the schema is told in the prompt."""
+        return self.invoke(f"{prompt}\n\nReply with one JSON object of the fields: {schema}")
+
+    def batch(self, prompts: list[str]) -> list[tuple[str, int, int]]:
+        return [self.invoke(p) for p in prompts]
+
+    def estimate_tokens(self, text: str) -> int:
+        return len(text.split()) * 13 // 10
+
+    def cost(self, tokens_in: int, tokens_out: int) -> Decimal:
+        return (tokens_in * Decimal(self.price_in) + tokens_out * Decimal(self.price_out)) / 1000
+
+
+class EchoClient(BaseClient):
     """The prompt comes back: for tests and dry runs."""
 
     def invoke(self, prompt: str) -> tuple[str, int, int]:
@@ -123,43 +156,99 @@ class Concurrency:
         return self.limit
 
 
+class Gate:
+    """Lets as many calls through at a time as a ``Concurrency`` allows just now."""
+
+    def __init__(self, limit: Concurrency):
+        self.limit, self.active, self.free = limit, 0, threading.Condition()
+
+    def __enter__(self) -> Gate:
+        with self.free:
+            while self.active >= max(1, int(self.limit.limit)):
+                self.free.wait()
+            self.active += 1
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        with self.free:
+            self.active -= 1
+            self.free.notify_all()
+
+    def record(self, latency: float, refused: bool) -> None:
+        with self.free:
+            self.limit.record(latency, refused, self.active >= int(self.limit.limit))
+            self.free.notify_all()
+
+
+def _headers(error: Exception) -> Mapping[str, str]:
+    """The headers of the response that an error came with."""
+    return getattr(error, "headers", None) or getattr(getattr(error, "response", None), "headers", None) or {}
+
+
 def with_column_model(df: DataFrame, prompt: str, model: ColumnModel, reply: str = "reply") -> DataFrame:
     return df.withColumn(reply, model(F.col(prompt)))
 
 
-def invoke(df: DataFrame, prompt: str, make: Callable[[], Client], keep: list[str], threads: int = 8, retries: int = 3, pause: float = 1.0, rpm: float | None = None) -> DataFrame:
-    """``keep`` columns and ``CALL_FIELDS`` of a call for every row; ``threads`` calls at a time in each task.
+def invoke(df: DataFrame, prompt: str, make: Callable[[], Client], keep: list[str], threads: int = 8, retries: int = 3, pause: float = 1.0, rpm: float | None = None, adaptive: bool = True, stop_on: tuple[str, ...] = ("auth",), schema: str | None = None) -> DataFrame:
+    """``keep`` columns and ``CALL_FIELDS`` of a call for every row; up to ``threads`` calls at a time in each task.
+
+    Retryable errors are tried again after ``pause`` seconds, doubling to a minute, or after what the server's headers
+    ask for, which holds for all calls of the task.  Other errors end in the row's ``error``.  After one of a kind in
+    ``stop_on`` a task sends nothing more: its other rows have the error ``not sent``.
 
-    Retryable errors are tried again after ``pause`` seconds, doubling to a minute; others end in the row's
-    ``error``.  ``rpm`` is this task's share of the limit.  A NULL prompt is not sent.  Tasks may run twice, so
-    write the result to a ``ResponseLog`` before anything else reads it.
+    ``rpm`` is the limit of the whole job; the tasks that can run at once share it.  With ``adaptive`` the calls at a
+    time follow their latency and refusals.  A NULL prompt is not sent.  Tasks may run twice, so write the result to a
+    ``ResponseLog`` before anything else reads it.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [CALL_FIELDS])
+    fields = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [CALL_FIELDS])
+    share = rpm / max(1, df.sparkSession.sparkContext.defaultParallelism) if rpm else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, bucket = make(), Bucket(rpm, max(1.0, rpm / 60)) if rpm else None
+        client, bucket = make(), Bucket(share, max(1.0, share / 60)) if share else Bucket(float("inf"))
+        lock, gate, fatal = threading.Lock(), Gate(Concurrency(float(threads), most=float(threads))), []
+
+        def wait(seconds: float | None = None) -> None:
+            with lock:
+                if seconds is not None:
+                    bucket.penalise(seconds)
+                rest = bucket.wait() if share else max(0.0, bucket.blocked - bucket.clock())
+            time.sleep(rest)
 
         def call(text: str | None) -> tuple:
             if text is None:
                 return None, 0, 0, 0.0, None, None, 0
             began, error, kind, attempt = time.perf_counter(), None, None, 0
             for attempt in range(1, retries + 2):
-                if bucket:
-                    time.sleep(bucket.wait())
-                try:
-                    out, tin, tout = client.invoke(text)
-                    return out, tin, tout, 1000 * (time.perf_counter() - began), None, None, attempt
-                except Exception as e:
-                    error, kind = str(e), classify(str(e))
-                    if kind not in RETRYABLE or attempt > retries:
-                        break
+                if fatal:
+                    return None, 0, 0, 0.0, f"not sent: {fatal[0]}", "stopped", attempt - 1
+                with gate if adaptive else nullcontext():
+                    wait()
+                    at = time.perf_counter()
+                    try:
+                        out, tin, tout = client.structured(text, schema) if schema else client.invoke(text)
+                        gate.record(time.perf_counter() - at, False)
+                        return out, tin, tout, 1000 * (time.perf_counter() - began), None, None, attempt
+                    except Exception as e:
+                        error, kind, asked = str(e), classify(str(e)), retry_after(_headers(e))
+                        gate.record(time.perf_counter() - at, kind == "rate_limit")
+                if kind in stop_on:
+                    fatal.append(error)
+                if kind not in RETRYABLE or attempt > retries:
+                    break
+                if asked is not None:
+                    wait(asked)
+                else:
                     time.sleep(min(60.0, pause * 2 ** (attempt - 1)))
             return None, 0, 0, 1000 * (time.perf_counter() - began), error, kind, attempt
 
-        with ThreadPoolExecutor(threads) as pool:
-            for frame in frames:
-                rows = list(pool.map(call, [None if pd.isna(p) else p for p in frame[prompt]]))
-                yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in CALL_FIELDS.split(", ")])], axis=1)
-
-    return df.mapInPandas(run, schema)
+        getattr(client, "start", lambda: None)()
+        try:
+            with ThreadPoolExecutor(threads) as pool:
+                for frame in frames:
+                    rows = list(pool.map(call, [None if pd.isna(p) else p for p in frame[prompt]]))
+                    yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in CALL_FIELDS.split(", ")])], axis=1)
+        finally:
+            getattr(client, "stop", lambda: None)()
+
+    return df.mapInPandas(run, fields)

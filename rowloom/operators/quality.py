@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom import store
 from rowloom.operators.merge import merge_results
 
 SKIPPED = "[SKIPPED]"
@@ -62,13 +63,14 @@ def failed_rows(df: DataFrame, outputs: list[str]) -> DataFrame:
 def retry_failed(df: DataFrame, outputs: list[str], on: str, again: Callable[[DataFrame, int], DataFrame], passes: int = 3) -> DataFrame:
     """Run ``again(failed rows, pass)`` up to ``passes`` times and merge what it returns (on, outputs).
 
-    Each pass sees only rows that are still lost; the plan grows by one join a pass, so write the input first.
+    Each pass sees only rows that are still lost.  Its answers are written to the shared folder before anything reads
+    them, so no pass is computed, or paid for, again by the next.
     """
     for i in range(1, passes + 1):
         lost = failed_rows(df, outputs)
         if lost.isEmpty():
             break
-        df = merge_results(df, again(lost, i).select(on, *outputs), on)
+        df = merge_results(df, store.written(again(lost, i).select(on, *outputs)), on)
     return df
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ class ResponseLog:
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").partitionBy("session").parquet(self.path)
 
+    def spent(self, session: str) -> Decimal:
+        """The cost of everything that was appended, replaced rows included."""
+        try:
+            return self.spark.read.parquet(self.path).where(F.col("session") == session).agg(F.sum("cost")).first()[0] or Decimal(0)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            return Decimal(0)
+
     def read(self, session: str, schema: str) -> DataFrame:
         try:
             log = self.spark.read.parquet(self.path).where(F.col("session") == session)
@@ -45,3 +56,11 @@ class ResponseLog:
                 raise
             log = self.spark.createDataFrame([], schema)
         return latest(log, ["session", "row_index"], "version")
+
+
+def throughput(done: DataFrame, index: str, began: str, ended: str) -> DataFrame:
+    """One row: rows that are complete without a gap, and how many a second from the first start to the last end."""
+    spans = done.agg(F.min(F.col(began).cast("timestamp")).alias("a"), F.max(F.col(ended).cast("timestamp")).alias("b"))
+    seconds = F.unix_micros("b") / 1e6 - F.unix_micros("a") / 1e6
+    both = watermark(done, index).crossJoin(spans)
+    return both.select((F.col("watermark") + 1).alias("processed"), F.when(seconds > 0, F.round((F.col("watermark") + 1) / seconds, 6)).alias("rows_per_second"))

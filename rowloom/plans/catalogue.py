@@ -7,13 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.api import enrich
+from rowloom.api import PipelineBuilder, enrich
 from rowloom.catalog import query, table
 from rowloom.functions import cost, parsing, prompt, similarity, text
 from rowloom.operators import batches, grounding, merge, quality, resume, retrieval, rows, runs
 from rowloom.operators.compose import Composer
-from rowloom.operators.invoke import EchoClient, invoke
-from rowloom.sources import jsonl
+from rowloom.operators.invoke import BaseClient, EchoClient
+from rowloom.sources import jsonl, provider
+from rowloom.store import new_path
 from rowloom.streaming.runner import windowed
 
 # Pieces of SQL that several queries share.
@@ -148,12 +149,33 @@ def select_existing(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'o_totalprice', 'double', count(*), count(*) - count(o_totalprice) FROM orders
 """)
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    return rows.profile(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    return rows.profile(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")).drop("distinct")
 
 
-@query("column_stats", "SELECT count(*) - count(o_orderpriority) AS isna, count(o_orderpriority) AS notna, count(DISTINCT o_orderpriority) AS nunique FROM orders")
+@query("column_stats", "SELECT count(*) - count(o_shippriority) AS isna, count(o_shippriority) AS notna, count(DISTINCT o_shippriority) AS nunique, CAST(sum(o_shippriority) AS BIGINT) AS sum FROM (SELECT CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 50 END AS o_shippriority FROM orders)")
 def column_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rows.column_stats(table(spark, d, "orders"), "o_orderpriority")
+    return rows.column_stats(table(spark, d, "orders").select(F.expr("CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 50 END").alias("o_shippriority")), "o_shippriority")
+
+
+@query("filter_expression", "SELECT p_partkey, p_size FROM part WHERE p_size > 25 AND p_name IS NOT NULL")
+def filter_expression(spark: SparkSession, d: str) -> DataFrame:
+    return rows.filter_rows(table(spark, d, "part"), "p_size > 25 AND p_name IS NOT NULL").select("p_partkey", "p_size")
+
+
+@query("filter_callable", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 1000")
+def filter_callable(spark: SparkSession, d: str) -> DataFrame:
+    return rows.filter_rows(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), lambda r: r["s_acctbal"] > 1000)
+
+
+@query("map_callable", "SELECT s_suppkey, upper(s_name) AS name FROM supplier")
+def map_callable(spark: SparkSession, d: str) -> DataFrame:
+    return rows.map_rows(table(spark, d, "supplier").select("s_suppkey", "s_name"), lambda r: {"s_suppkey": r["s_suppkey"], "name": r["s_name"].upper()}, "s_suppkey long, name string")
+
+
+@query("row_index_span", "SELECT _row_index, p_partkey FROM (SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS _row_index, p_partkey FROM part) WHERE _row_index >= 100 AND _row_index < 150")
+def row_index_span(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.struct("p_retailprice", "p_partkey").alias("key"))
+    return rows.span(rows.with_row_index(p, "key"), 100, 150).select("_row_index", "p_partkey")
 
 
 # ---------------------------------------------------------------- merges
@@ -174,10 +196,12 @@ def merge_append(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_results(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "append")
 
 
-@query("merge_on_last_wins", "SELECT c_custkey, (SELECT arg_max(o_totalprice, o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS o_totalprice FROM customer")
+@query("merge_on_last_wins", "SELECT c_custkey, (SELECT arg_max(o_totalprice, o_orderkey) FROM (SELECT CASE WHEN o_custkey % 10 > 0 THEN o_custkey END AS k, o_totalprice, o_orderkey FROM orders) WHERE k IS NOT DISTINCT FROM c.k) AS o_totalprice FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 > 0 THEN c_custkey END AS k FROM customer) c")
 def merge_on_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    return merge.lookup(table(spark, d, "customer").select("c_custkey"), o, "c_custkey", "o_orderkey").select("c_custkey", "o_totalprice")
+    """Keys repeat on the right, and every tenth key is NULL on both sides."""
+    o = table(spark, d, "orders").select(F.expr("CASE WHEN o_custkey % 10 > 0 THEN o_custkey END").alias("k"), "o_orderkey", "o_totalprice")
+    c = table(spark, d, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 10 > 0 THEN c_custkey END").alias("k"))
+    return merge.lookup(c, o, "k", "o_orderkey").select("c_custkey", "o_totalprice")
 
 
 @query("concat_union_columns", "SELECT c_custkey, c_name AS name, NULL AS s_suppkey FROM customer UNION ALL SELECT NULL, s_name, s_suppkey FROM supplier")
@@ -193,17 +217,79 @@ def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("watermark_contiguous", """
-    WITH i AS (SELECT DISTINCT event_id AS i FROM events WHERE event_id % 977 <> 976), r AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS r FROM i), w AS (SELECT coalesce(max(i) FILTER (i = r), -1) AS watermark, count(*) AS completed FROM r)
+    WITH i AS (SELECT DISTINCT event_id AS i FROM events WHERE NOT (event_type = 'error' AND user_id = 50)), r AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS r FROM i), w AS (SELECT coalesce(max(i) FILTER (i = r), -1) AS watermark, count(*) AS completed FROM r)
     SELECT watermark, completed, completed - watermark - 1 AS beyond FROM w
 """)
 def watermark_contiguous(spark: SparkSession, d: str) -> DataFrame:
-    return resume.watermark(table(spark, d, "events").where("event_id % 977 <> 976"), "event_id")
+    return resume.watermark(table(spark, d, "events").where("NOT (event_type = 'error' AND user_id = 50)"), "event_id")
+
+
+_LOGGED = "WITH e AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)"
 
 
-@query("response_log_latest", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL")
+@query("response_log_latest", f"{_LOGGED} SELECT i AS row_index, CASE WHEN i % 3 = 0 THEN concat('again ', event_type) ELSE event_type END AS reply FROM e")
 def response_log_latest(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return merge.latest(e.select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], "event_id")
+    """All rows are answered, every third one again: the later version counts, and another session does not."""
+    e = rows.with_row_index(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    log = resume.ResponseLog(spark, new_path(spark, "responses"))
+
+    def add(df: DataFrame, session: str, version: int, reply: F.Column) -> None:
+        log.append(df.select(F.lit(session).alias("session"), F.col(rows.INDEX).alias("row_index"), F.lit(version).cast("long").alias("version"), reply.alias("reply")))
+
+    add(e, "mine", 1, F.col("event_type"))
+    add(e, "other", 9, F.lit("not mine"))
+    add(e.where(F.col(rows.INDEX) % 3 == 0), "mine", 2, F.concat(F.lit("again "), F.col("event_type")))
+    return log.read("mine", "session string, row_index long, version long, reply string").select("row_index", "reply")
+
+
+class _Refused(BaseClient):
+    """Answers with the prompt in capitals; for some prompts its key is refused, until it is a good one."""
+
+    def __init__(self, good: bool):
+        self.good = good
+
+    def invoke(self, prompt_: str) -> tuple[str, int, int]:
+        if not self.good and int(prompt_.rpartition(" ")[2]) % 11 == 3:
+            raise RuntimeError("401 unauthorized")
+        return prompt_.upper(), 1, 1
+
+
+def _client(good: bool):
+    return lambda: _Refused(good)
+
+
+@query("crash_resume", "SELECT event_id, upper(concat(event_type, ' ', event_id)) AS out FROM events")
+def crash_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A run that is refused in its first wave, and a second one that asks only for what the first did not get."""
+    e = table(spark, d, "events").select("event_id", "event_type")
+    b = PipelineBuilder(spark).from_source(e, ["event_type", "event_id"], ["out"], "event_id").with_prompt("{event_type} {event_id}").with_log(new_path(spark, "responses"), "s", waves=4)
+    try:
+        b.with_client(_client(False), threads=4).build().execute()
+        raise AssertionError("the first run was to be stopped")
+    except RuntimeError:
+        pass
+    return b.with_client(_client(True), threads=4).build().execute().select("event_id", "out")
+
+
+class _Odd(BaseClient):
+    """Answers nothing but blanks to prompts of odd numbers until they are asked again."""
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+
+    def invoke(self, prompt_: str) -> tuple[str, int, int]:
+        n = int(prompt_.rpartition(" ")[2])
+        if n % 5 == 0:
+            raise RuntimeError("the model is gone: does not exist")
+        return (" " if n % 3 == 0 else f"n{n}"), 2, 1
+
+
+@query("retry_in_pipeline", "SELECT o_orderkey, CASE WHEN o_orderkey % 15 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('n', o_orderkey) END AS out FROM orders")
+def retry_in_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that stay lost are asked three times in all; errors become NULL, blanks stay blank."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    b = PipelineBuilder(spark).from_source(o, ["o_orderkey"], ["out"], "o_orderkey").with_prompt("order {o_orderkey}").with_client(_Odd, threads=4, retries=0)
+    return b.with_error_policy("retry").build().execute()
 
 
 # ---------------------------------------------------------------- quality and errors
@@ -326,8 +412,20 @@ def preprocess_stats(spark: SparkSession, d: str) -> DataFrame:
     return text.preprocess_stats(table(spark, d, "documents"), "text", 200)
 
 
+#: Written apart from the expressions of the engine.
+_HIDDEN = [
+    "\\b[0-9A-Za-z_.%+-]+@[0-9A-Za-z_-]+(?:\\.[0-9A-Za-z_-]+)*\\.[A-Za-z][A-Za-z]+\\b",
+    "\\b[0-9][0-9][0-9]-[0-9][0-9]-[0-9]{4}\\b",
+    "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b",
+    "\\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\\b",
+    "\\+[0-9]{1,3}[-.\\s]?\\(?[0-9]{1,4}\\)?[-.\\s]?[0-9]{1,4}[-.\\s]?[0-9]{1,9}",
+    "(?i)\\b(?:api_key|api-key|apikey|secret|token)[\\s:=]+['\"]?[0-9a-z_-]{16,}['\"]?\\b",
+    "\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b",
+]
+
+
 def _redact_sql(c: str) -> str:
-    for rx in text.REDACTIONS.values():
+    for rx in _HIDDEN:
         quoted = rx.replace("'", "''")
         c = f"regexp_replace({c}, '{quoted}', '[REDACTED]', 'g')"
     return c
@@ -399,37 +497,36 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d), 10)
 
 
-_DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    s AS (SELECT b.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE b.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))"""
-
-
-def _probes(spark: SparkSession, d: str) -> DataFrame:
-    """The first vector of each label."""
+@query("dense_cosine_topk", f"""
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT b.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b)
+    {_RANKED.format('s', 'vec_id', 10)}
+""")
+def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.drop("label"), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.dense_blocks(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 10)
 
 
-@query("dense_cosine_topk", f"WITH {_DENSE} {_RANKED.format('s', 'vec_id', 10)}")
-def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.dense(table(spark, d, "embeddings"), _probes(spark, d), 10)
+#: An embedding that SQL can express too: how often each letter occurs.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTER_SQL = "list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda x: (length(lower(coalesce({0}, ''))) - length(replace(lower(coalesce({0}, '')), x, '')))::DOUBLE)"
 
 
-# Every vector is a query here; the SQL of dense_cosine_topk asks with the first of each label only, and SQL over all
-# pairs is too slow on whole tables: tests/test_operators.py compares with brute force.
-@query("dense_cosine_neighbours")
-def dense_cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return retrieval.dense_blocks(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 10)
+def _letters(text_: F.Column) -> F.Column:
+    low = F.lower(F.coalesce(text_, F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
 
 
 @query("rrf_hybrid", f"""
-    WITH {_BM25}, l AS ({_RANKED.format('s', 'doc_id', 20)}), o0 AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN documents ON contains(lower(text), word) GROUP BY ALL), o AS ({_RANKED.format('o0', 'doc_id', 20)}),
-    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM l UNION ALL SELECT query_id, doc_id, rank FROM o) GROUP BY ALL)
+    WITH {_BM25}, l AS ({_RANKED.format('s', 'doc_id', 20)}),
+    e AS (SELECT doc_id, {_LETTER_SQL.format('text')} AS e FROM documents), qe AS (SELECT item_id AS query_id, {_LETTER_SQL.format('text')} AS e FROM benchmark),
+    v0 AS (SELECT query_id, doc_id, round(CASE WHEN list_sum(e.e) = 0 OR list_sum(qe.e) = 0 THEN 0 ELSE list_cosine_similarity(e.e, qe.e) END, 6) AS score FROM e, qe), v AS ({_RANKED.format('v0', 'doc_id', 20)}),
+    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM l UNION ALL SELECT query_id, doc_id, rank FROM v) GROUP BY ALL)
     {_RANKED.format('f', 'doc_id', 10)}
 """)
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     docs, q = table(spark, d, "documents"), _queries(spark, d)
-    return retrieval.hybrid(retrieval.bm25(docs, q, 20), retrieval.overlap(docs, q, 20), 10, "query_id", "doc_id")
+    vectors = retrieval.dense_blocks(docs.select("doc_id", _letters(F.col("text")).alias("e")), q.select("query_id", _letters(F.col("query")).alias("e")), 20, "doc_id", "e", "query_id", "e")
+    return retrieval.hybrid(retrieval.bm25(docs, q, 20), vectors, 10, "query_id", "doc_id")
 
 
 @query("kb_context_augment", f"""
@@ -441,7 +538,12 @@ def kb_context_augment(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.context(retrieval.bm25(docs, _queries(spark, d), 3), docs, "query_id", "doc_id", "text", 0.1)
 
 
-@query("chunk_fixed")
+@query("chunk_fixed", f"""
+    WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+    u AS (SELECT doc_id, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS i FROM t), n AS (SELECT *, len({_words('s')}) AS n FROM u),
+    c AS (SELECT doc_id, i, 0 AS chunk, n AS held FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.i, CASE WHEN held + n.n > 128 THEN chunk + 1 ELSE chunk END, CASE WHEN held + n.n > 128 THEN n.n ELSE held + n.n END FROM c JOIN n ON n.doc_id = c.doc_id AND n.i = c.i + 1)
+    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, string_agg(s, ' ' ORDER BY i) AS text, CAST(sum(n) AS INTEGER) AS n_tokens FROM c JOIN n USING (doc_id, i) GROUP BY doc_id, chunk
+""")
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", 128)
 
@@ -469,7 +571,7 @@ def confidence_modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("contradiction_pairs", """
     WITH o AS (SELECT concat(o_custkey, '/', o_orderpriority) AS k, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS v, min(o_orderkey) AS o FROM orders GROUP BY ALL)
-    SELECT a.k AS k, a.o AS first, b.o AS second, a.v AS value_a, b.v AS value_b FROM o a JOIN o b ON a.k = b.k AND a.o < b.o AND abs(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE)) > 100000
+    SELECT a.k AS k, a.o AS first, b.o AS second, a.v AS value_a, b.v AS value_b FROM o a JOIN o b ON a.k = b.k AND (a.o, a.v) < (b.o, b.v) AND abs(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE)) > 100000
 """)
 def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.concat_ws("/", "o_custkey", "o_orderpriority").alias("k"), F.floor("o_totalprice").alias("v"), "o_orderkey")
@@ -477,7 +579,7 @@ def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("contradiction_symmetric", """
-    WITH o AS (SELECT o_custkey AS k, o_orderpriority AS v, min(o_orderkey) AS o FROM orders GROUP BY ALL), p AS (SELECT a.o AS first, b.o AS second FROM o a JOIN o b ON a.k = b.k AND a.o < b.o AND a.v <> b.v)
+    WITH o AS (SELECT o_custkey AS k, o_orderpriority AS v, min(o_orderkey) AS o FROM orders GROUP BY ALL), p AS (SELECT a.o AS first, b.o AS second FROM o a JOIN o b ON a.k = b.k AND (a.o, a.v) < (b.o, b.v) AND a.v <> b.v)
     SELECT first, second FROM p UNION SELECT second, first FROM p
 """)
 def contradiction_symmetric(spark: SparkSession, d: str) -> DataFrame:
@@ -518,11 +620,71 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return windowed(table(spark, d, "events"), "ts", "1 day", "1 hour", ["event_type"])
 
 
-@query("remote_model_ledger", "SELECT doc_id, concat('Document ', doc_id, ' in ', lang) AS reply, CAST(4 AS BIGINT) AS tokens_in, CAST(NULL AS VARCHAR) AS error FROM documents")
+@query("stream_foreachbatch_equals_batch", "SELECT event_id, concat('type ', event_type) AS out FROM events")
+def stream_foreachbatch_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The table as files that come in four at a time, each batch through the pipeline."""
+    base = new_path(spark, "stream")
+    table(spark, d, "events").select("event_id", "event_type").repartition(8, "event_id").write.parquet(f"{base}/in")
+    p = PipelineBuilder(spark).from_source(f"{base}/in", ["event_type"], ["out"], "event_id").with_prompt("type {event_type}").with_column_model(lambda c: c).build()
+    p.execute_stream(f"{base}/out", f"{base}/checkpoint", files_per_batch=4).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "out")
+
+
+@query("provider_batch_roundtrip", r"SELECT conv_id, turn, regexp_replace(concat('Turn of ', role, ': ', text), '\s+$', '') AS out FROM conversations")
+def provider_batch_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Handed in as request lines, answered by a provider, collected by row."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", (F.col("conv_id") * 100_000 + F.col("turn")).alias("key"))
+    p = PipelineBuilder(spark).from_source(c, ["role", "text"], ["out"], "key").with_prompt("Turn of {role}: {text}").with_client(EchoClient).build()
+    to = provider.LiveProvider(spark, EchoClient)
+    return p.collect(p.submit(to, new_path(spark, "batch")), to).select("conv_id", "turn", F.col("out"))
+
+
+@query("remote_model_ledger", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, concat('Document ', doc_id, ' in ', lang) AS reply, CAST(4 AS BIGINT) AS tokens_in, CAST(NULL AS VARCHAR) AS error FROM documents")
 def remote_model_ledger(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    asked = docs.select("doc_id", prompt.render(docs, "Document {doc_id} in {lang}").alias("prompt"))
-    return invoke(asked, "prompt", EchoClient, ["doc_id"]).select("doc_id", "reply", "tokens_in", "error")
+    """What the log of a run with a remote model holds."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    log = new_path(spark, "responses")
+    b = PipelineBuilder(spark).from_source(docs, ["doc_id", "lang"], ["out"], "doc_id").with_prompt("Document {doc_id} in {lang}").with_client(EchoClient)
+    b.with_log(log, "s").build().execute()
+    return resume.ResponseLog(spark, log).read("s", "session string, row_index long, version long, reply string, tokens_in long, error string").select("row_index", "reply", "tokens_in", "error")
+
+
+@query("batch_metrics_split", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS _row_index, CAST(CASE WHEN (row_number() OVER (ORDER BY event_id) - 1) % 100 % 30 < 7 THEN (CASE WHEN (row_number() OVER (ORDER BY event_id) - 1) % 100 >= 90 THEN 10 ELSE 4 END) ELSE (CASE WHEN (row_number() OVER (ORDER BY event_id) - 1) % 100 >= 90 THEN 9 ELSE 3 END) END AS BIGINT) AS tokens FROM events")
+def batch_metrics_split(spark: SparkSession, d: str) -> DataFrame:
+    """97 tokens a call, shared by its rows; every hundred rows are calls of 30, 30, 30 and 10."""
+    e = rows.with_row_index(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    calls = batches.pack(e, 30, rows.INDEX, batches.BLOCK, "event_type").withColumns({"tokens": F.lit(97).cast("long"), "reply": F.lit("[]")})
+    return batches.unpack(calls, "reply", rows.INDEX, shared=("tokens",)).select(rows.INDEX, "tokens")
+
+
+@query("unpack_structured", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS _row_index, CASE WHEN event_id % 4 > 0 THEN event_type END AS kind, CASE WHEN event_id % 4 > 0 THEN event_id END AS nr, CASE WHEN event_id % 4 = 0 THEN 'missing id' END AS failure FROM events")
+def unpack_structured(spark: SparkSession, d: str) -> DataFrame:
+    e = rows.with_row_index(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    calls = batches.pack(e, 20, rows.INDEX, batches.BLOCK, "event_id", "event_type")
+    kept = F.filter(F.transform("items", lambda x, i: F.struct((i + 1).alias("id"), x["event_type"].alias("kind"), x["event_id"].alias("nr"))), lambda x: x["nr"] % 4 > 0)
+    got = batches.unpack_structured(calls.withColumn("reply", F.to_json(F.struct(kept.alias("items")))), "reply", rows.INDEX, "kind string, nr long")
+    return got.select(rows.INDEX, "result.kind", "result.nr", "failure")
+
+
+@query("pending_embeddings", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS size FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    got = retrieval.embed_pending(table(spark, d, "documents"), table(spark, d, "labels"), lambda c: F.array(F.length(c).cast("double")), "doc_id")
+    return got.select("doc_id", F.col("embedding")[0].alias("size"))
+
+
+@query("hydrate_ids", "SELECT doc_id, lang, source FROM labels JOIN documents USING (doc_id) WHERE quality = 1")
+def hydrate_ids(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return grounding.hydrate(asked, table(spark, d, "documents"), "id", "doc_id").select("doc_id", "lang", "source")
+
+
+@query("chunk_upsert", "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN lang ELSE concat('q', quality) END AS lang FROM documents LEFT JOIN labels l USING (doc_id)")
+def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Each new chunk comes twice; the second counts."""
+    new = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
+    twice = new.select("doc_id", F.lit("old").alias("lang"), F.lit(0).alias("at")).union(new.select("doc_id", F.concat(F.lit("q"), "quality"), F.lit(1)))
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.lit(0).alias("at"))
+    return retrieval.upsert(docs, twice, "doc_id", "at").select("doc_id", "lang")
 
 
 # ---------------------------------------------------------------- runs
@@ -547,9 +709,82 @@ def deployment_labels(spark: SparkSession, d: str) -> DataFrame:
     return runs.labels(table(spark, d, "events"), "event_type", "event_id", ["first", "second"])
 
 
-@query("routed_calls")
+@query("routed_calls", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'east' WHEN 1 THEN 'west' ELSE 'south' END AS deployment FROM orders")
 def routed_calls(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", runs.route(F.col("o_orderkey"), {"east": 3, "west": 1}).alias("deployment"))
+    return runs.assign(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "round-robin", {"east": {}, "west": {}, "south": {}})
+
+
+@query("progress_throughput", "WITH e AS (SELECT ts, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT count(*) AS processed, round(count(*) / (epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6), 6) AS rows_per_second FROM e")
+def progress_throughput(spark: SparkSession, d: str) -> DataFrame:
+    return resume.throughput(rows.with_row_index(table(spark, d, "events").select("event_id", "ts"), "event_id"), rows.INDEX, "ts", "ts")
+
+
+@query("rag_scores", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS faithfulness, CASE WHEN turn % 3 = 1 THEN NULL ELSE 0.5::DOUBLE END AS relevancy, CASE WHEN turn % 3 = 2 THEN 0.0::DOUBLE END AS context_precision, CASE WHEN turn % 3 = 0 THEN 0.75 WHEN turn % 3 = 1 THEN 0.25 ELSE 0.25 END::DOUBLE AS overall FROM conversations")
+def rag_scores(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.when(F.col("turn") % 3 == 0, '```json\n{"faithfulness": 7, "relevancy": 0.5}\n```').when(F.col("turn") % 3 == 1, '{"faithfulness": 0.25, "relevancy": "none"}').otherwise('{"faithfulness": 0.25, "relevancy": 0.5, "context_precision": -2}')
+    got = retrieval.rag_scores(reply)
+    return table(spark, d, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in got.items()], retrieval.rag_overall(got).alias("overall"))
+
+
+@query("verification_skip", f"WITH {_GROUND} SELECT g.id, CASE WHEN grounded THEN p.a END AS answer, _grounding_score FROM g JOIN p USING (id)")
+def verification_skip(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.verify(_answers(spark, d), "id", ["answer"], ["question"], 0.05, "skip").select("id", "answer", "_grounding_score")
+
+
+@query("contradiction_flags", """
+    SELECT o_orderkey, EXISTS (SELECT 1 FROM orders e WHERE e.o_custkey = o.o_custkey AND e.o_orderkey < o.o_orderkey AND abs(e.o_totalprice - o.o_totalprice) > 100000) AS _contradiction FROM orders o
+""")
+def contradiction_flags(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return grounding.flag_contradictions(o, "o_custkey", "o_totalprice", "o_orderkey", 100000).select("o_orderkey", "_contradiction")
+
+
+_CLAIMS_SQL = f"""
+    c0 AS (SELECT conv_id * 1000 + turn AS claim, text AS ct FROM conversations WHERE role = 'assistant'), q0 AS (SELECT item_id AS query_id, text AS qt FROM benchmark),
+    cw AS (SELECT claim, word, count(*) AS y FROM (SELECT claim, unnest({_tokens('ct')}) AS word FROM c0) GROUP BY ALL), qw AS (SELECT query_id, word, count(*) AS x FROM (SELECT query_id, unnest({_tokens('qt')}) AS word FROM q0) GROUP BY ALL),
+    cc AS (SELECT claim, sum(y * y) AS cc FROM cw GROUP BY claim), qq AS (SELECT query_id, sum(x * x) AS qq FROM qw GROUP BY query_id),
+    m AS (SELECT query_id, claim, sum(x * y) AS dot, sum(x * x) AS xs, sum(y * y) AS ys FROM qw JOIN cw USING (word) GROUP BY ALL),
+    cs AS (SELECT query_id, claim, round(dot / sqrt((xs + (qq - xs) * {(1 + math.log(2)) ** 2}) * (ys + (cc - ys) * {(1 + math.log(2)) ** 2})), 6) AS score FROM m JOIN cc USING (claim) JOIN qq USING (query_id))"""
+
+
+def _claim_table(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim"), "text", F.concat(F.lit("conv "), "conv_id").alias("source"))
+
+
+@query("claim_search", f"WITH {_CLAIMS_SQL} {_RANKED.format('cs', 'claim', 5)}")
+def claim_search(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.search_claims(_claim_table(spark, d), _queries(spark, d), 5)
+
+
+@query("evidence_priming", f"""
+    WITH {_CLAIMS_SQL}, h AS ({_RANKED.format('cs', 'claim', 3)})
+    SELECT query_id, string_agg(concat('[', printf('%.2f', round(score, 2)), '] ', ct, ' (conv ', claim // 1000, ')'), chr(10) ORDER BY rank) AS _evidence_context, count(*) AS _evidence_count FROM h JOIN c0 USING (claim) WHERE score >= 0.02 GROUP BY query_id
+""")
+def evidence_priming(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.evidence(_claim_table(spark, d), _queries(spark, d), 3, 0.02, source="source")
+
+
+@query("claim_store", "SELECT user_id::VARCHAR AS claim, arg_min(event_type, event_id) AS text, count(DISTINCT (event_type, props)) AS support_count FROM events GROUP BY user_id")
+def claim_store(spark: SparkSession, d: str) -> DataFrame:
+    """Said in two lots; the first text of each claim stays."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("claim"), F.col("event_type").alias("text"), F.lit("events").alias("source"), F.col("event_type").alias("asserted_by"), F.col("props").alias("decision"), F.lit("p").alias("phase"), F.col("event_id").alias("seq"))
+    kept = grounding.ClaimStore(spark, new_path(spark, "claims"))
+    kept.add(e.where("seq % 2 = 1"))
+    kept.add(e.where("seq % 2 = 0"))
+    return kept.claims().select("claim", "text", "support_count")
+
+
+@query("kb_search_variants", f"""
+    WITH w AS (SELECT item_id, string_split_regex(trim(text), '\\s+') AS w FROM benchmark),
+    v AS (SELECT DISTINCT query_id, query FROM (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT item_id, array_to_string(w[1:CAST(ceil(len(w) / 2) AS BIGINT)], ' ') FROM w WHERE len(w) > 3 UNION ALL SELECT item_id, array_to_string(w[CAST(ceil(len(w) / 2) AS BIGINT) + 1:len(w)], ' ') FROM w WHERE len(w) > 3)),
+    q AS (SELECT DISTINCT query_id, query, unnest({_tokens('query')}) AS word FROM v), d AS (SELECT doc_id, {_tokens("coalesce(text, '')")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS average FROM d),
+    tf AS (SELECT doc_id, size, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+    s0 AS (SELECT query_id, query, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))), 6) AS score FROM q JOIN tf USING (word) JOIN df USING (word), st GROUP BY ALL),
+    s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, doc_id) AS r FROM s0) WHERE r <= 15), s AS (SELECT query_id, doc_id, max(score) AS score FROM s1 GROUP BY ALL)
+    {_RANKED.format('s', 'doc_id', 5)}
+""")
+def kb_search_variants(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(table(spark, d, "documents"), _queries(spark, d), 5, "doc_id", variants=retrieval.TRANSFORMS["multi_query"])
 
 
 @query("rerank_hits", f"""

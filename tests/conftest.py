@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent.parent}:{os.environ.get('PYTHONPATH', '')}"
+# workers import the library, and the classes that tests define
+os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent.parent}:{Path(__file__).resolve().parent}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")

@@ -252,21 +252,21 @@ def test_routes_labels_and_judges(spark, tmp_path):
     many = retrieval.with_variants(q, "query_id", "query", lambda c: F.when(c == "x", F.array(F.lit("x"), F.lit("z"))))
     assert sorted(tuple(r) for r in many.collect()) == [(1, "x"), (1, "z"), (2, "y")]
     got = retrieval.rag_scores(F.col("t"))
-    row = spark.createDataFrame([('```json\n{"faithfulness": 2, "relevance": 0.5}\n```',)], "t string").select(*[c.alias(n) for n, c in got.items()]).first()
+    row = spark.createDataFrame([('```json\n{"faithfulness": 2, "relevancy": 0.5, "context_precision": "high"}\n```',)], "t string").select(*[c.alias(n) for n, c in got.items()]).first()
     assert tuple(row) == (1.0, 0.5, None)
     (tmp_path / "session=a").mkdir()
-    assert runs.sessions(str(tmp_path)) == ["a"] and runs.clean(str(tmp_path), -1) == ["a"] and runs.sessions(str(tmp_path)) == []
+    assert runs.sessions(spark, str(tmp_path)) == ["a"] and runs.clean(spark, str(tmp_path), -1) == ["a"] and runs.sessions(spark, str(tmp_path)) == []
 
 
 def test_every_vector_is_a_query(spark):
-    from rowloom.plans.catalogue import dense_cosine_neighbours
+    from rowloom.plans.catalogue import dense_cosine_topk
 
     sf = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     m = np.array(e["embedding"].tolist(), float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     got = {}
-    for r in dense_cosine_neighbours(spark, sf).collect():
+    for r in dense_cosine_topk(spark, sf).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(e["vec_id"])
     ids = e["vec_id"].to_numpy()
