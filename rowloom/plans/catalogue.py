@@ -548,9 +548,20 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", 128)
 
 
-@query("chunk_semantic")
+_SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query("chunk_semantic", f"""
+    WITH RECURSIVE t AS (SELECT doc_id, {_SENTENCES} AS s FROM documents),
+    u AS (SELECT doc_id, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS i FROM t), e AS (SELECT *, len({_words('s')}) AS n, {_LETTER_SQL.format('s')} AS e FROM u),
+    m AS (SELECT b.doc_id, b.i, round(list_inner_product(b.e, a.e) / (sqrt(list_inner_product(b.e, b.e)) * sqrt(list_inner_product(a.e, a.e)) + 1e-10), 9) AS sim FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+    p AS (SELECT doc_id, quantile_cont(sim, 0.25) AS cut FROM m GROUP BY doc_id),
+    n AS (SELECT e.doc_id, e.i, e.n, e.s, coalesce(sim < cut, false) AS far FROM e LEFT JOIN m USING (doc_id, i) LEFT JOIN p USING (doc_id)),
+    c AS (SELECT doc_id, i, 0 AS chunk, n AS held FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.i, CASE WHEN far OR held + n.n > 128 THEN chunk + 1 ELSE chunk END, CASE WHEN far OR held + n.n > 128 THEN n.n ELSE held + n.n END FROM c JOIN n ON n.doc_id = c.doc_id AND n.i = c.i + 1)
+    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, string_agg(s, ' ' ORDER BY i) AS text FROM c JOIN n USING (doc_id, i) GROUP BY doc_id, chunk
+""")
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.semantic_chunks(table(spark, d, "documents"), "doc_id", "text", 128)
+    return retrieval.semantic_chunks(table(spark, d, "documents"), "doc_id", "text", 128, embed=retrieval.letter_embedding)
 
 
 # ---------------------------------------------------------------- grounding
