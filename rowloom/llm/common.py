@@ -8,6 +8,7 @@ shuffle's LZ4 squeezes the empty planes out.
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -75,12 +76,18 @@ class Table:
 
 
 #: Bytes that one shard of an exchange holds, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 
 def shards_for(size: float, each: int = SHARD_BYTES) -> int:
-    """A power of two: so many shards that each gets about ``each`` of ``size`` bytes; 8 at least, 2**20 at most."""
-    return 1 << min(20, max(3, math.ceil(math.log2(max(size, 1) / each))))
+    """A power of two: so many shards that each gets about ``each`` of ``size`` bytes; 4 at least, 2**20 at most."""
+    return 1 << min(20, max(2, math.ceil(math.log2(max(size, 1) / each))))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done: they leave the disk with the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(df: DataFrame, col: str) -> int:

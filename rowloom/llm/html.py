@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Table, Words, mix, pieces, shards_for, text_bytes, with_row_key
+from rowloom.llm.common import Table, Words, mix, pieces, release, shards_for, text_bytes, with_row_key
 from rowloom.llm.pfp import repeated_spans
 
 MIN_TOKENS = 12
@@ -178,24 +178,30 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
     NULL id bear on no other page and are returned with all their tokens.  Rows that repeat an id are searched each
     and lose the spans of both.  Other columns are ignored.  An empty table gives an empty result.
     """
-    # each page is parsed once; what follows reads its tokens
-    whole = Table(parsed(with_row_key(pages, [id_col, url_col, html_col]))).df
-    known = whole.where("id is not null and body <> ''")
+    rows = with_row_key(pages, [id_col, url_col, html_col])
+    # The search reads the tokens of parsed pages; they go, and what found the spans goes, before the pages themselves move.
+    tokens = Table(parsed(rows.where("k0 is not null and k2 is not null")))
+    known = tokens.df.where("body <> ''")
     n_shards = shards_for(text_bytes(known, "body"))
-    spans = repeated_spans(known, "body", _stream, min_tokens, w, p, n_shards).union(shared_blocks(known, min_block, min_tokens, n_shards))
+    long = Table(repeated_spans(known, "body", _stream, min_tokens, w, p, n_shards)).df
+    release(pages.sparkSession)
+    short = Table(shared_blocks(known, min_block, min_tokens, n_shards)).df
+    tokens.drop()
+    release(pages.sparkSession)
+    spans = long.union(short)
     # Both sides come to a page's bucket in packed form: one compressed row for each bucket of a batch.
     bucket = F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3)
         for batch in batches:
-            for part in pieces(batch, "body"):
+            for part in pieces(batch, "k2"):
                 home = np.array(part.column("bucket").to_pylist())
-                ids, hosts, texts = (part.column(c).to_pylist() for c in ("id", "host", "body"))
+                ids, urls, texts = (part.column(c).to_pylist() for c in ("k0", "k1", "k2"))
                 for s in np.unique(home).tolist():
                     own = np.flatnonzero(home == s).tolist()
-                    body = "\0".join(texts[i].replace("\n", " ") for i in own)
-                    yield pa.record_batch({"bucket": pa.array([s], pa.int32()), "ids": pa.array([[ids[i] for i in own]], pa.list_(pa.int64())), "hosts": pa.array([[hosts[i] for i in own]], pa.list_(pa.string())), "body": pa.array([pack.compress(body.encode())], pa.binary())})
+                    body = "\0".join(" ".join(tokens_of(texts[i])) for i in own)
+                    yield pa.record_batch({"bucket": pa.array([s], pa.int32()), "ids": pa.array([[ids[i] for i in own]], pa.list_(pa.int64())), "hosts": pa.array([[host_of(urls[i]) for i in own]], pa.list_(pa.string())), "body": pa.array([pack.compress(body.encode())], pa.binary())})
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         at: dict[int, list[tuple[int, int]]] = {}
@@ -215,5 +221,5 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_run: int = MIN_R
         c = list(zip(*out)) or [()] * 5
         return pa.table({"page_id": pa.array(c[0], pa.int64()), "host": pa.array(c[1], pa.string()), "text": pa.array(c[2], pa.string()), "n_tokens": pa.array(c[3], pa.int64()), "n_boilerplate": pa.array(c[4], pa.int64())})
 
-    packed = whole.withColumn("bucket", bucket).mapInArrow(squeeze, "bucket int, ids array<long>, hosts array<string>, body binary")
+    packed = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col("k0").cast("long")), F.lit(n_shards)).cast("int")).mapInArrow(squeeze, "bucket int, ids array<long>, hosts array<string>, body binary")
     return packed.groupBy("bucket").cogroup(spans.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(cut, "page_id long, host string, text string, n_tokens long, n_boilerplate long")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import KEY_BITS, Words, frequent, mix, pieces, rolling, shards_for, starts_within, text_bytes, to_shards, with_row_key
+from rowloom.llm.common import KEY_BITS, Words, frequent, mix, pieces, release, rolling, shards_for, starts_within, text_bytes, to_shards, with_row_key
 
 MIN_WORDS = 50
 TRIGGER_WORDS, TRIGGER_MODULUS = 4, 6
@@ -246,6 +246,7 @@ def repeated_spans(src: DataFrame, text: str, tokens: Tokens, m: int, w: int, p:
                     yield pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
     freq = spark.sparkContext.broadcast(frequent(src.mapInArrow(count, "shard int, payload binary"), [2], n_shards))
+    release(spark)
     schema = "shard int, ids binary, docs binary, starts binary, counts binary, lengths binary, words binary"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
