@@ -24,9 +24,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rowloom.llm.common import Table, Words, mix, pieces, shards_for, text_bytes, with_row_key
+from rowloom.llm.common import Table, Words, mix, pieces, release, shards_for, text_bytes, with_row_key
 
-STATES, ROUNDS = 4, 4
+#: Rounds at most; training ends sooner once a round gains less than ``TOLERANCE`` of the log-likelihood.
+STATES, ROUNDS, TOLERANCE = 4, 4, 1e-4
 #: ``train`` alone folds words to 2 ** BITS symbols, for a model that fits in memory.
 BITS = 18
 BLOCK = 64
@@ -413,8 +414,8 @@ def _gathered(emits: Table, n_shards: int, states: int) -> tuple[np.ndarray, int
     return totals[:states], int(totals[states]), rest
 
 
-def train_words(parts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Corpus:
-    """Baum-Welch on every word of every document, each distinct word a symbol."""
+def train_words(parts: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Corpus:
+    """Baum-Welch on every word of every document, each distinct word a symbol, until a round gains too little."""
     spark = parts.sparkSession
     n_shards = shards_for((1 + states / 2) * text_bytes(parts, "keys"))  # a key and its counts
 
@@ -448,9 +449,11 @@ def train_words(parts: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
         emits = _exchange(_meet(parts, model).applyInArrow(expect, _COUNTS), n_shards, states, False)
         totals, _, rest = _gathered(emits, n_shards, states)
         model.emits.drop()
-        spark.sparkContext._jvm.System.gc()  # the round's shuffle files go with the driver's garbage, else all rounds' stay
+        release(spark)
         moves, starts = rest[: states * states].reshape(states, states) + SMOOTH, rest[states * states : -1] + SMOOTH
         model = Corpus(starts / starts.sum(), moves / moves.sum(1)[:, None], totals, n_symbols, emits, [*model.log_likelihood, float(rest[-1])])
+        if len(model.log_likelihood) > 1 and model.log_likelihood[-1] - model.log_likelihood[-2] < tolerance * abs(model.log_likelihood[-2]):
+            break
     return model
 
 
@@ -483,6 +486,8 @@ def score_words(parts: DataFrame, model: Corpus) -> DataFrame:
 def lm_score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train the model on the documents and score each one: (doc_id, n_words, log_likelihood, perplexity).
 
+    Training takes ``rounds`` rounds at most, fewer if one gains less than ``TOLERANCE`` of the log-likelihood.
+
     Words are split at whitespace and lower-cased; each distinct word is a symbol, known by a 64-bit hash.  With
     ``bits`` they are folded to 2 ** bits symbols instead, and words may share one.  The likelihood is that of the
     whole text.  NULL, empty and blank texts are empty sequences: likelihood 1, hence a log of 0, and a NULL
