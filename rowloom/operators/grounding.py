@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.similarity import ALONE, tfidf_pairs
-from rowloom.functions.text import tokenize
-from rowloom.operators.rows import top_k
+from rowloom.operators import ranking
 
 
 def grounding(df: DataFrame, key: str, answer: str, sources: list[str], threshold: float = 0.3, digits: int = 6) -> DataFrame:
@@ -139,18 +140,34 @@ def hydrate(ids: DataFrame, table: DataFrame, left: str, right: str) -> DataFram
 def search_claims(claims: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", claim: str = "claim", text: str = "text", digits: int = 6) -> DataFrame:
     """(query_id, claim, score, rank) by the TF-IDF cosine of query and claim, 0 left out.
 
-    The cosine is 0 without a common word, so words join by equality; what is not in common only enters the lengths,
-    which are sums over each side less what is in common.
+    The cosine is 0 without a common word; what is not in common only enters the lengths, which are sums over each side
+    less what is in common.  Claims are scored where they lie, and only the k best of a task are shuffled.
     """
-    def side(df: DataFrame, key: str, t: str, n: str) -> DataFrame:
-        return df.select(F.col(key).alias(key), F.explode(tokenize(F.col(t))).alias("word")).groupBy(key, "word").agg(F.count("*").alias(n))
-
-    q, c = side(queries, query_id, query, "x"), side(claims, claim, text, "y")
-    qq, cc = q.groupBy(query_id).agg(F.sum(F.col("x") * F.col("x")).alias("qq")), c.groupBy(claim).agg(F.sum(F.col("y") * F.col("y")).alias("cc"))
-    both = q.join(c, "word").groupBy(query_id, claim).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xs"), F.sum(F.col("y") * F.col("y")).alias("ys"))
-    w = ALONE * ALONE
-    scored = both.join(qq, query_id).join(cc, claim).withColumn("score", F.round(F.col("dot") / F.sqrt((F.col("xs") + (F.col("qq") - F.col("xs")) * w) * (F.col("ys") + (F.col("cc") - F.col("ys")) * w)), digits))
-    return top_k(scored.where("score > 0").select(query_id, claim, "score"), query_id, "score", claim, k)
+    parts, most = [], 0
+    for asked in ranking.passes(queries, query_id, query):
+        parts.append(ranking.best_rows(claims, claim, F.col(text), asked.ids, (asked, asked.lengths), _by_tfidf, k, (query_id, queries.schema[query_id].dataType), digits))
+        most += k * len(asked.ids)
+    if not parts:
+        kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (claims, claim))]
+        return claims.sparkSession.createDataFrame([], f"`{query_id}` {kinds[0]}, `{claim}` {kinds[1]}, score double, rank int")
+    return ranking.merged(parts, k, query_id, claim, most)
+
+
+def _by_tfidf(shared: tuple[ranking.Asked, np.ndarray]) -> ranking.Scorer:
+    asked, qq = shared
+    words, w = asked.encoded, ALONE * ALONE
+
+    def add(best: ranking.Best, ids: np.ndarray, texts: pa.Array) -> None:
+        row, word, y, _, cc = ranking.bags(texts, words)
+        cc = cc[:, None]
+        dot = ranking.totals(row, word, y, len(cc), asked, asked.times)
+        xs = ranking.totals(row, word, np.ones(len(y)), len(cc), asked, asked.times**2)
+        ys = ranking.totals(row, word, y * y, len(cc), asked)
+        length = np.sqrt((xs + (qq - xs) * w) * (ys + (cc - ys) * w))
+        s = np.divide(dot, length, out=np.zeros_like(dot), where=dot > 0)
+        best.add(ids, s, s >= 0.5 / best.unit)  # not those that count as 0
+
+    return add
 
 
 def verify(df: DataFrame, key: str, outputs: list[str], sources: list[str], threshold: float = 0.3, action: str = "flag") -> DataFrame:

@@ -507,13 +507,12 @@ def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: An embedding that SQL can express too: how often each letter occurs.
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _LETTER_SQL = "list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda x: (length(lower(coalesce({0}, ''))) - length(replace(lower(coalesce({0}, '')), x, '')))::DOUBLE)"
 
 
 def _letters(text_: F.Column) -> F.Column:
-    low = F.lower(F.coalesce(text_, F.lit("")))
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
+    """One look at each text; lower case is Spark's, as in the SQL."""
+    return F.pandas_udf(retrieval.letter_counts, "array<double>")(F.lower(F.coalesce(text_, F.lit(""))))
 
 
 @query("rrf_hybrid", f"""

@@ -291,3 +291,37 @@ def test_upsert_of_a_union_whose_parts_adaptive_plans_read_apart(spark, tmp_path
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == got.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert got.where("lang = 'old'").isEmpty()
+
+
+@pytest.mark.parametrize("search", [retrieval.bm25, retrieval.overlap])
+def test_searches_join_nothing(spark, search):
+    """Words meet chunks in the tasks that read these: no join, so no row for each word or pair."""
+    chunks = spark.createDataFrame([(i, f"red Blue-{i} the, (green) É{i}É") for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "the red"), (1, "blue-7 the"), (2, "nothing"), (3, None)], "query_id long, query string")
+    found = search(chunks, queries, 3)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["query_id"], r["doc_id"], r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 7, 1), (1, 0, 2), (1, 1, 3)]
+
+
+def test_searches_take_several_passes_and_any_ids(spark, monkeypatch):
+    from rowloom.operators import ranking
+
+    chunks = spark.createDataFrame([(f"c{i}", "same text " + "word " * (i % 3)) for i in range(30)], "doc_id string, text string").repartition(3)
+    queries = spark.createDataFrame([((q, "v"), "word text") for q in range(5)], "query_id struct<a:long,b:string>, query string")
+
+    def run():
+        return [sorted((r["query_id"]["a"], r["doc_id"], r["rank"], r["score"]) for r in f(chunks, queries, 4).collect()) for f in (retrieval.bm25, retrieval.overlap)]
+
+    whole = run()
+    assert [x[1] for x in whole[0] if x[0] == 0] == ["c11", "c14", "c17", "c2"]
+    monkeypatch.setattr(ranking, "PASS_WORDS", 4)
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 2)
+    assert run() == whole
+    assert retrieval.bm25(chunks, queries.limit(0), 4).count() == 0
+
+
+def test_claims_join_nothing(spark):
+    claims = spark.createDataFrame([(i, "a fox and the dog " * (i + 1)) for i in range(9)] + [(9, None)], "claim long, text string")
+    found = grounding.search_claims(claims, spark.createDataFrame([(1, "the fox"), (2, "cat")], "query_id long, query string"), 2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["query_id"], r["claim"], r["rank"]) for r in found.collect()] == [(1, 0, 1), (1, 1, 2)]
