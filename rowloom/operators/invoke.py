@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import threading
 import time
@@ -160,24 +161,28 @@ class Gate:
     """Lets as many calls through at a time as a ``Concurrency`` allows just now."""
 
     def __init__(self, limit: Concurrency):
-        self.limit, self.active, self.free = limit, 0, threading.Condition()
+        self.limit, self.active, self.waiting, self.free = limit, 0, 0, threading.Condition(threading.Lock())
 
     def __enter__(self) -> Gate:
         with self.free:
             while self.active >= max(1, int(self.limit.limit)):
+                self.waiting += 1
                 self.free.wait()
+                self.waiting -= 1
             self.active += 1
         return self
 
     def __exit__(self, *_: object) -> None:
         with self.free:
             self.active -= 1
-            self.free.notify_all()
+            if self.waiting:
+                self.free.notify_all()
 
     def record(self, latency: float, refused: bool) -> None:
         with self.free:
             self.limit.record(latency, refused, self.active >= int(self.limit.limit))
-            self.free.notify_all()
+            if self.waiting:
+                self.free.notify_all()
 
 
 def _headers(error: Exception) -> Mapping[str, str]:
@@ -213,7 +218,8 @@ def invoke(df: DataFrame, prompt: str, make: Callable[[], Client], keep: list[st
                 if seconds is not None:
                     bucket.penalise(seconds)
                 rest = bucket.wait() if share else max(0.0, bucket.blocked - bucket.clock())
-            time.sleep(rest)
+            if rest > 0:
+                time.sleep(rest)
 
         def call(text: str | None) -> tuple:
             if text is None:
@@ -223,7 +229,8 @@ def invoke(df: DataFrame, prompt: str, make: Callable[[], Client], keep: list[st
                 if fatal:
                     return None, 0, 0, 0.0, f"not sent: {fatal[0]}", "stopped", attempt - 1
                 with gate if adaptive else nullcontext():
-                    wait()
+                    if share or bucket.blocked:
+                        wait()
                     at = time.perf_counter()
                     try:
                         out, tin, tout = client.structured(text, schema) if schema else client.invoke(text)
@@ -242,11 +249,23 @@ def invoke(df: DataFrame, prompt: str, make: Callable[[], Client], keep: list[st
                     time.sleep(min(60.0, pause * 2 ** (attempt - 1)))
             return None, 0, 0, 1000 * (time.perf_counter() - began), error, kind, attempt
 
+        def call_all(pool: ThreadPoolExecutor, prompts: list[str | None]) -> list[tuple]:
+            """Each thread takes the next prompt as it is free: one task a thread, not one a row."""
+            rows, turn = [()] * len(prompts), itertools.count()
+
+            def work() -> None:
+                while (at := next(turn)) < len(prompts):
+                    rows[at] = call(prompts[at])
+
+            for done in [pool.submit(work) for _ in range(min(threads, len(prompts)))]:
+                done.result()
+            return rows
+
         getattr(client, "start", lambda: None)()
         try:
             with ThreadPoolExecutor(threads) as pool:
                 for frame in frames:
-                    rows = list(pool.map(call, [None if pd.isna(p) else p for p in frame[prompt]]))
+                    rows = call_all(pool, [None if pd.isna(p) else p for p in frame[prompt]])
                     yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in CALL_FIELDS.split(", ")])], axis=1)
         finally:
             getattr(client, "stop", lambda: None)()
